@@ -2,7 +2,9 @@
 
 A byte goes if a string of `size` bytes that covers it also starts in a document with a smaller id.
 
-Plan. Documents are dealt to buckets of a few MB of text.
+Plan. Copies leave first: where a task sees a text of at least `size` bytes again with a larger id, that row goes
+whole, and only its length travels on. The other documents are dealt by their text to buckets of a few MB, so each
+bucket settles the copies that different tasks saw.
 1. Each start of a `size`-byte string gets an anchor: the least hash of the 16-byte grams inside the
    string. Equal strings have equal anchors, and neighbouring starts mostly share one, so an anchor
    stands for a short segment of text. Buckets exchange their distinct anchors (exchange.py).
@@ -27,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import exchange
-from .common import bucketed, buckets_for, mix64, text_buffer, text_bytes
+from .common import buckets_for, mix64, text_buffer, text_bytes
 from .suffixes import smallest_owner
 
 SIZE = 50
@@ -73,13 +76,51 @@ def anchors(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def deal(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, size: int) -> DataFrame:
+    """(bkt, doc_id, text, n_bytes): the text is null where the row is known to be a later copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        for batch in batches:
+            data, off = text_buffer(batch["text"])
+            view, ids = memoryview(data), batch["doc_id"].to_pylist()
+            bkts, live = np.empty(len(ids), np.int32), np.ones(len(ids), bool)
+            for k, (i, a, b) in enumerate(zip(ids, off[:-1].tolist(), off[1:].tolist())):
+                mark = hashlib.blake2b(view[a:b], digest_size=16).digest()
+                bkts[k] = int.from_bytes(mark[:8], "little") % n_buckets
+                if i is None or b - a < size:
+                    continue
+                seen = least.get(mark)
+                if seen is None or i < seen:
+                    least[mark] = i
+                elif i > seen:
+                    live[k] = False
+                    bkts[k] = i % n_buckets
+            texts = pa.array(batch["text"].to_pylist(), pa.string(), mask=~live) if not live.all() else batch["text"]
+            yield pa.RecordBatch.from_arrays([pa.array(bkts), batch["doc_id"], texts, pa.array(np.diff(off), pa.int64())], names=["bkt", "doc_id", "text", "n_bytes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "bkt int, doc_id long, text string, n_bytes long")
+
+
+_EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 class Bucket:
-    """The runs of equal anchors of a bucket's documents."""
+    """The runs of equal anchors of a bucket's documents; of equal texts only those with the least id count."""
 
     def __init__(self, t: pa.Table, size: int) -> None:
+        later = t["text"].is_null().to_numpy()
+        texts, ids = t["text"].to_pylist(), t["doc_id"].to_pylist()
+        least: dict[str, int] = {}
+        for i, x in zip(ids, texts):
+            if i is not None and x is not None and (x not in least or i < least[x]):
+                least[x] = i
+        later = later | np.array([i is not None and x is not None and i > least[x] and n >= size for i, x, n in zip(ids, texts, t["n_bytes"].to_pylist())], bool)
+        self.copies = t.filter(pa.array(later)).select(["doc_id", "n_bytes"])
+        t = t.filter(pa.array(~later))
         self.data, self.off = text_buffer(t["text"])
-        ids = t["doc_id"]
-        self.ids = ids.to_pylist()
+        self.ids = t["doc_id"].to_pylist()
         self.doc_id = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
         hashes = anchors(self.data, size)
         n = len(hashes)
@@ -152,7 +193,8 @@ def _sort_range(t: pa.Table, size: int) -> Iterator[tuple[int, bytes]]:
     """(bkt, answer) for each bucket's segments of this range; an answer lists runs (segment, starts, id)."""
     parts = []
     for row in zip(t["bkt"].to_pylist(), t["keys"].to_pylist(), t["ids"].to_pylist(), t["lens"].to_pylist(), t["text"].to_pylist()):
-        parts.append((row[0], *(np.frombuffer(c, d) for c, d in zip(row[1:4], ("<u8", "<i8", "<u4"))), row[4]))
+        ids, text = (zstandard.decompress(c) for c in (row[2], row[4]))
+        parts.append((row[0], exchange.unpack6(row[1]), np.frombuffer(ids, "<i8"), np.frombuffer(row[3], "<u1"), text))
     # Distinct segments of the range; the same bytes from several buckets are sorted once.
     number: dict[bytes, int] = {}
     key, least, refs = [], [], []
@@ -259,7 +301,10 @@ def _report(b: Bucket, gone: np.ndarray) -> pa.Table:
     view, sums = memoryview(b.data), []
     for a, e, n in zip(b.off[:-1].tolist(), b.off[1:].tolist(), n_removed.tolist()):
         sums.append(hashlib.sha256(b.data[a:e][~gone[a:e]].tobytes() if n else view[a:e]).hexdigest())
-    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": np.diff(b.off), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": pa.array(sums, pa.string())})
+    out = pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": np.diff(b.off), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": pa.array(sums, pa.string())})
+    n, size = b.copies.num_rows, b.copies["n_bytes"]
+    gone_whole = pa.table({"doc_id": b.copies["doc_id"], "n_bytes": size, "n_removed": size, "n_spans": pa.array([1] * n, pa.int64()), "kept_sha256": pa.array([_EMPTY] * n, pa.string())})
+    return pa.concat_tables([out, gone_whole])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, bucket_bytes: int = 4 << 20, wide_buckets: int = exchange.WIDE_BUCKETS, sort_bytes: int = SORT_RANGE_BYTES) -> DataFrame:
@@ -268,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"size must be from {GRAM} to 200")
     total = text_bytes(docs, text_col)
     ranges, sort_ranges = buckets_for(total, exchange.RANGE_BYTES), buckets_for(total, sort_bytes)
-    dealt = bucketed(docs, id_col, text_col, buckets_for(total, bucket_bytes))
+    dealt = deal(docs, id_col, text_col, buckets_for(total, bucket_bytes), size)
 
     def send(t: pa.Table) -> pa.Table:
         return exchange.cells(Bucket(t, size).key, t["bkt"][0].as_py(), ranges)
@@ -277,10 +322,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = {"rng": [], "bkt": [], "keys": [], "ids": [], "lens": [], "text": []}
         if left.num_rows:
             known, key, least, *_ = Bucket(left, size).segments(right, size, sort_ranges)
-            bkt = left["bkt"][0].as_py()
+            bkt, squeeze = left["bkt"][0].as_py(), zstandard.ZstdCompressor(level=1).compress
             for r, pieces in _by_range(known).items():
                 own = [n for _, n in pieces]
-                row = (r, bkt, np.array([key[n] for n in own], "<u8").tobytes(), np.array([least[n] for n in own], "<i8").tobytes(), np.array([len(p) for p, _ in pieces], "<u4").tobytes(), b"".join(p for p, _ in pieces))
+                row = (r, bkt, exchange.pack6(np.array([key[n] for n in own], np.uint64)), squeeze(np.array([least[n] for n in own], "<i8").tobytes()), np.array([len(p) for p, _ in pieces], "<u1").tobytes(), squeeze(b"".join(p for p, _ in pieces)))
                 for c, v in zip(out, row):
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("rng", "bkt") else pa.binary()) for c, v in out.items()})
