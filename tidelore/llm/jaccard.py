@@ -8,11 +8,14 @@ size-derived bounds exclude go before any whole row is looked at.
    exchanged in packed blocks (exchange.py). A row x with a partner lacks at most |x| - ceil(t |x|) columns in it,
    so if more of its exchanged columns occur nowhere else, it has none. This is exact.
 2. Rows with equal sets fall into one class; the smallest id stands for it.
-3. Columns are ordered by hash; linked rows share one of their first |x| - ceil(t |x|) + 1 columns. Each of these
+3. All columns of the classes are exchanged the same way, which tells how many of a row's columns no other row has.
+   Those left over bound every overlap of the row, and with the sizes they bound its similarity to any other.
+4. Columns are ordered by hash; linked rows share one of their first |x| - ceil(t |x|) + 1 columns. Each of these
    columns links its rows to its smallest row in a star; every row checks its most frequent star in full, and
    what links is contracted. A group of near copies thus costs one check per row.
-4. Of the columns that still join different components, all pairs across components add up their overlap in
-   these first columns; what stays below the bound that the sizes give goes, and the rest is checked in full.
+5. Of the columns that still join different components, all pairs across components add up their overlap in
+   these first columns, unless step 3 excludes the pair; what stays below the bound that the sizes give goes, and the
+   rest is checked in full.
    Every link between different texts is thus either checked or within a component already.
 
 Cases: null, empty and blank texts have no set and stand alone; a null id stands alone and its component is
@@ -85,13 +88,45 @@ def _checked(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return edges.select("a", "b").join(left, "a").join(right, "b").filter(links(F.col("na"), F.col("nb"), both, num, den)).select("a", "b")
 
 
+def shared_columns(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Adds `most` to a stored table (node, n, hashes): how many of the row's columns any other row has. Rows that
+    lack too many to link with anything are left out."""
+    n_buckets = buckets_for(8 * (sets.agg(F.sum("n")).first()[0] or 0))
+    ranges = buckets_for(8 * (sets.agg(F.sum("n")).first()[0] or 0), exchange.RANGE_BYTES)
+    dealt = sets.withColumn("bkt", F.pmod(F.xxhash64("node"), F.lit(n_buckets)).cast("int"))
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        hashes = t["hashes"].combine_chunks()
+        at = np.concatenate([[0], np.cumsum(t["n"].to_numpy())])
+        return hashes.flatten().to_numpy().view(np.uint64) >> np.uint64(16), at
+
+    def send(t: pa.Table) -> pa.Table:
+        return exchange.cells(columns(t)[0], t["bkt"][0].as_py(), ranges)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, at = columns(left)
+        doc = np.repeat(np.arange(left.num_rows), np.diff(at))
+        _, inverse, df = np.unique(keys, return_inverse=True, return_counts=True)  # a row has no column twice
+        met = (df[inverse] > 1) | exchange.member(exchange.answered(right)[0], keys)[0]
+        most = np.bincount(doc[met], minlength=left.num_rows)
+        out = left.select(["node", "n", "hashes"]).append_column("most", pa.array(most, pa.int64()))
+        return out.filter(pa.array(most * den >= left["n"].to_numpy() * num))
+
+    shared = exchange.shared_keys(dealt.groupBy("bkt").applyInArrow(send, "rng int, bkt int, cell binary"))
+    return dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(judge, "node long, n long, hashes array<long>, most long")
+
+
 def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of every node of the stored table `sets` (node, n, hashes ascending) that links with another."""
+    sets = materialize(shared_columns(sets, num, den), "shared")
     size = F.col("n").cast("long")
-    first = materialize(sets.select("node", "n", F.explode(F.slice("hashes", F.lit(1), (size - needed(size, num, den) + 1).cast("int"))).alias("h")), "columns")
-    fits = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
-    star = first.groupBy("h").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    spokes = first.join(star, "h").filter((F.col("node") != F.col("hub")) & fits("n", "hub_n")).groupBy("node", "hub").agg(F.count("*").alias("overlap"))
+    first = materialize(sets.select("node", "n", "most", F.explode(F.slice("hashes", F.lit(1), (size - needed(size, num, den) + 1).cast("int"))).alias("h")), "columns")
+    least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * num / (num + den))
+    fits = lambda x, y, mx, my: F.least(mx, my) >= least(x, y)
+    # The hub is the row that lacks least: near the middle of its group.
+    star = first.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lack"), "node", "n", "most")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    star = star.select("h", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most"))
+    spokes = first.join(star, "h").filter((F.col("node") != F.col("hub")) & fits("n", "hub_n", "most", "hub_most")).groupBy("node", "hub").agg(F.count("*").alias("overlap"))
     best = spokes.groupBy("node").agg(F.max(F.struct("overlap", -F.col("hub"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b"))
     near = materialize(components(_checked(best, sets, num, den)), "contracted")
     # Columns that still join different components.
@@ -99,12 +134,11 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     rest = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
-    left = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "h").filter((F.col("ca") < F.col("cb")) & fits("na", "nb")).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("overlap"))
-    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    left = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    right = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    pairs = left.join(right, "h").filter((F.col("ca") < F.col("cb")) & fits("na", "nb", "ma", "mb")).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("overlap"))
     most = F.col("overlap") + F.greatest(needed(F.col("na"), num, den), needed(F.col("nb"), num, den)) - 1
-    across = materialize(pairs.filter(most >= least), "pairs")
+    across = materialize(pairs.filter(most >= least("na", "nb")), "pairs")
     joined = _checked(across, sets, num, den).join(across.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
     near = near.unionByName(top.select(F.col("component").alias("node"), "component").join(near, "node", "left_anti"))
