@@ -110,6 +110,8 @@ class Bucket:
     """The runs of equal anchors of a bucket's documents; of equal texts only those with the least id count."""
 
     def __init__(self, t: pa.Table, size: int) -> None:
+        # Shuffled rows come in any order; every stage must number segments alike.
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         later = t["text"].is_null().to_numpy()
         texts, ids = t["text"].to_pylist(), t["doc_id"].to_pylist()
         least: dict[str, int] = {}
@@ -219,6 +221,12 @@ def _sort_range(t: pa.Table, size: int) -> Iterator[tuple[int, bytes]]:
     least = np.array(least, np.int64)
     order = np.argsort(np.array(key, np.uint64), kind="stable")
     sorted_key = np.array(key, np.uint64)[order]
+    # Equal strings have equal anchors: a segment that is its anchor's only one needs no sorting.
+    differ = np.r_[True, sorted_key[1:] != sorted_key[:-1], True]
+    only = order[differ[:-1] & differ[1:]]
+    smallest[np.repeat(begin[only], starts_of[only]) + np.arange(starts_of[only].sum()) - np.repeat(np.cumsum(starts_of[only]) - starts_of[only], starts_of[only])] = np.repeat(least[only], starts_of[only])
+    several = ~(differ[:-1] & differ[1:])
+    order, sorted_key = order[several], sorted_key[several]
     a = 0
     while a < len(order):  # arrays of bounded size, cut where the key changes
         b, total = a, 0
