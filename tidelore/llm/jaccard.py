@@ -10,9 +10,9 @@ size-derived bounds exclude go before any whole row is looked at.
 2. Rows with equal sets fall into one class; the smallest id stands for it.
 3. All columns of the classes are exchanged the same way, which tells how many of a row's columns no other row has.
    Those left over bound every overlap of the row, and with the sizes they bound its similarity to any other.
-4. Columns are ordered by hash; linked rows share one of their first |x| - ceil(t |x|) + 1 columns. Each of these
-   columns links its rows to its smallest row in a star; every row checks its most frequent star in full, and
-   what links is contracted. A group of near copies thus costs one check per row.
+4. The m columns of a row that others have are ordered by hash; linked rows share one of their first
+   m - ceil(t |x|) + 1. Each of these columns links its rows to one hub in a star; every row checks its most
+   frequent hubs in full, and what links is contracted. A group of near copies thus costs a few checks per row.
 5. Of the columns that still join different components, all pairs across components add up their overlap in
    these first columns, unless step 3 excludes the pair; what stays below the bound that the sizes give goes, and the
    rest is checked in full.
@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import exchange
 from .common import bucketed, buckets_for, materialize, text_buffer, text_bytes
@@ -39,6 +39,8 @@ from .shingles import shingle_sets
 #: Share of the columns that step 1 exchanges, and the size up to which a row is judged by all its columns.
 EXCHANGED = 0.3
 SHORT = 64
+#: Hubs that a row checks before pairs are counted; it affects the work, not the result.
+HUBS = 3
 
 ROWS = "row_id long, doc_id long, n_shingles long, signature binary, hashes array<long>"
 
@@ -109,25 +111,28 @@ def shared_columns(sets: DataFrame, num: int, den: int) -> DataFrame:
         _, inverse, df = np.unique(keys, return_inverse=True, return_counts=True)  # a row has no column twice
         met = (df[inverse] > 1) | exchange.member(exchange.answered(right)[0], keys)[0]
         most = np.bincount(doc[met], minlength=left.num_rows)
-        out = left.select(["node", "n", "hashes"]).append_column("most", pa.array(most, pa.int64()))
+        flat = left["hashes"].combine_chunks().flatten().filter(pa.array(met))
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), flat)
+        out = left.select(["node", "n", "hashes"]).append_column("most", pa.array(most, pa.int64())).append_column("met", own)
         return out.filter(pa.array(most * den >= left["n"].to_numpy() * num))
 
     shared = exchange.shared_keys(dealt.groupBy("bkt").applyInArrow(send, "rng int, bkt int, cell binary"))
-    return dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(judge, "node long, n long, hashes array<long>, most long")
+    return dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(judge, "node long, n long, hashes array<long>, most long, met array<long>")
 
 
 def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of every node of the stored table `sets` (node, n, hashes ascending) that links with another."""
     sets = materialize(shared_columns(sets, num, den), "shared")
     size = F.col("n").cast("long")
-    first = materialize(sets.select("node", "n", "most", F.explode(F.slice("hashes", F.lit(1), (size - needed(size, num, den) + 1).cast("int"))).alias("h")), "columns")
+    first = materialize(sets.select("node", "n", "most", F.explode(F.slice("met", F.lit(1), (F.col("most") - needed(size, num, den) + 1).cast("int"))).alias("h")), "columns")
     least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * num / (num + den))
     fits = lambda x, y, mx, my: F.least(mx, my) >= least(x, y)
     # The hub is the row that lacks least: near the middle of its group.
     star = first.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lack"), "node", "n", "most")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
     star = star.select("h", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most"))
     spokes = first.join(star, "h").filter((F.col("node") != F.col("hub")) & fits("n", "hub_n", "most", "hub_most")).groupBy("node", "hub").agg(F.count("*").alias("overlap"))
-    best = spokes.groupBy("node").agg(F.max(F.struct("overlap", -F.col("hub"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "hub"))
+    best = spokes.withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     near = materialize(components(_checked(best, sets, num, den)), "contracted")
     # Columns that still join different components.
     placed = first.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
