@@ -91,7 +91,7 @@ def scan_separators(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, dtype: str
         found.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("ordinal0", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
         .withColumn("ends", F.transform("ends", lambda e: e + F.col("base")))
-        .withColumn("open", F.coalesce(F.max(F.element_at("ends", -1) + 1).over(before), F.lit(0)))
+        .withColumn("open", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1)) + 1).over(before), F.lit(0)))
         .withColumn("last", F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull())
     )
     # A document starts where the one before it ended; the first of a block where the scan says.
