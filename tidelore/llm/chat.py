@@ -58,12 +58,13 @@ def reply_paths(messages: DataFrame) -> DataFrame:
         levels.append(materialize(a.join(b, "up", "left").select("node", F.col("_up2").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "jump"))
     depth = levels[-1].select("node", "depth")
     # A stretch (leaf, node, n) stands for node and its n - 1 next ancestors; n is at most 2**k before round k.
-    stretch = leaves.join(depth, "node").select(F.col("node").alias("leaf"), "node", (F.col("depth") + 1).alias("n"), "depth")
+    stretch = materialize(leaves.join(depth, "node").select(F.col("node").alias("leaf"), "node", (F.col("depth") + 1).alias("n"), "depth"), "stretches")
     for k in range(len(levels) - 1, -1, -1):
         step = 1 << k
         cut = F.col("n") > step
         upper = stretch.filter(cut).join(levels[k].select("node", "up"), "node").select("leaf", F.col("up").alias("node"), (F.col("n") - step).alias("n"), (F.col("depth") - step).alias("depth"))
-        stretch = stretch.withColumn("n", F.least(F.col("n"), F.lit(step))).unionByName(upper)
+        # Stored, since the next round reads it twice: plans would double with every round.
+        stretch = materialize(stretch.withColumn("n", F.least(F.col("n"), F.lit(step))).unionByName(upper), "stretches")
     return stretch.select("leaf", "node", "depth")
 
 
@@ -107,10 +108,10 @@ def format_conversations(messages: DataFrame, paths_per_conversation: int = 1) -
     its messages' scores (null: 0); ties go to the smaller leaf.
     """
     on_path = reply_paths(messages)
-    full = on_path.join(messages.select("node", "conv", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
+    full = on_path.join(messages.select("node", "conv", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
     scored = full.groupBy("leaf").agg(F.first("conv").alias("conv"), F.avg("score").alias("path_score"))
     best = scored.withColumn("path_rank", F.row_number().over(W.partitionBy("conv").orderBy(F.desc("path_score"), "leaf"))).filter(F.col("path_rank") <= paths_per_conversation)
-    chosen = full.drop("conv", "score").join(best, "leaf")
+    chosen = on_path.join(best, "leaf").join(messages.select("node", "role", "text"), "node")
     return format_turns(chosen, ["conv", "leaf", "path_rank", "path_score"])
 
 
