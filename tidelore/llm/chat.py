@@ -55,7 +55,9 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     while not levels[-1].filter("up is not null").isEmpty():
         a = levels[-1]
         b = a.select(F.col("node").alias("up"), F.col("up").alias("_up2"), F.col("depth").alias("_d"))
-        levels.append(materialize(a.join(b, "up", "left").select("node", F.col("_up2").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "jump"))
+        # Only messages that still have an ancestor join; the others keep their depth.
+        on = a.filter("up is not null").join(b, "up").select("node", F.col("_up2").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"))
+        levels.append(materialize(on.unionByName(a.filter("up is null")), "jump"))
     depth = levels[-1].select("node", "depth")
     # A stretch (leaf, node, n) stands for node and its n - 1 next ancestors; n is at most 2**k before round k.
     stretch = materialize(leaves.join(depth, "node").select(F.col("node").alias("leaf"), "node", (F.col("depth") + 1).alias("n"), "depth"), "stretches")
