@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Nearest examples, masking and tokens are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Nearest examples, masking and tokens are not SQL; the operators of the stages are tested in tests/llm.
 ORACLE_SQL = None
