@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text whose keys one range task sorts.
 RANGE_BYTES = 48 << 20
-#: A key in more buckets than this is "wide". With a third of the documents of so many buckets and 100 bytes for each,
-#: the segments of one key stay at about 10 MB.
-WIDE_BUCKETS = 256
+#: A key in more buckets than this is "wide".
+WIDE_BUCKETS = 64
 KEY_MASK = np.uint64((1 << 48) - 1)
 WIDE_BIT = np.uint64(1 << 48)
 CELLS = pa.schema([("rng", pa.int32()), ("bkt", pa.int32()), ("cell", pa.binary())])
