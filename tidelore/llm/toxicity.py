@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
@@ -219,7 +220,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     sparse = materialize(texts.mapInPandas(features, schema), "features")
     n = sparse.count()
     df = np.zeros(len(vocab))
-    for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # at most MAX_TERMS rows
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(number.value), np.int64)
+        for batch in batches:
+            seen += np.bincount(batch["terms"].flatten().to_numpy(), minlength=len(seen))
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(met, pa.int32()), "n": pa.array(seen[met], pa.int64())})
+
+    counts = sparse.select("terms").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    for r in counts.collect():  # at most MAX_TERMS rows
         df[r["t"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
     rows = taught.select("doc_id", "y", "text").mapInPandas(lambda batches: (out.assign(y=y) for pdf in batches for out, y in zip(features([pdf]), [pdf["y"].to_numpy()])), schema + ", y int").select("doc_id", "y", "terms", "tf").collect()
