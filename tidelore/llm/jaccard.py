@@ -13,9 +13,10 @@ size-derived bounds exclude go before any whole row is looked at.
 4. The m columns of a row that others have are ordered by hash; linked rows share one of their first
    m - ceil(t |x|) + 1. Each of these columns links its rows to one hub in a star; every row checks its most
    frequent hubs in full, and what links is contracted. A group of near copies thus costs a few checks per row.
-5. Of the columns that still join different components, all pairs across components add up their overlap in
-   these first columns, unless step 3 excludes the pair; what stays below the bound that the sizes give goes, and the
-   rest is checked in full.
+5. Columns that still join different components join rows across them. Rows are first told apart by kind: sizes, main
+   hub, and how many of their shared columns that hub has. Kinds whose rows cannot link, by these counts or by step 3,
+   are excluded whole, so near copies just below the threshold are refuted by group. The pairs left add up their
+   overlap in these first columns; what stays below the bound that the sizes give goes, the rest is checked in full.
    Every link between different texts is thus either checked or within a component already.
 
 Cases: null, empty and blank texts have no set and stand alone; a null id stands alone and its component is
@@ -26,6 +27,7 @@ by links between the texts); an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,37 @@ def shared_columns(sets: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(judge, "node long, n long, hashes array<long>, most long, met array<long>")
 
 
+def _profiles(main: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, kind) for rows (node, ref): kind holds the row's sizes, its ref, and how many of its shared columns the ref has."""
+    own = sets.select("node", "n", "most", "met")
+    hubs = sets.select(F.col("node").alias("ref"), "hashes")
+    inside = F.size(F.array_intersect("met", "hashes")).cast("long")
+    return main.join(own, "node").join(hubs, "ref").select("node", F.struct("ref", "n", "most", inside.alias("inside")).alias("kind"))
+
+
+def _candidates(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
+    """Pairs (a, b) of rows of different components with their overlap in `rest` (h, node, component, kind).
+
+    Whole kinds of rows are compared before rows are: of two kinds with the same ref, no rows overlap in more columns than
+    the smaller count of those inside the ref and the smaller count of those outside. Then components of the kinds left
+    meet, and only then their rows.
+    """
+    kinds = rest.groupBy("h", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    p, q = (kinds.select("h", F.col("kind").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "pq")
+    inside = F.least("p.inside", "q.inside")
+    outside = F.least(F.col("p.most") - F.col("p.inside"), F.col("q.most") - F.col("q.inside"))
+    possible = fits("p.n", "q.n", "p.most", "q.most") & ((F.col("p.ref") != F.col("q.ref")) | (inside + outside >= least("p.n", "q.n")))
+    several = F.least("lo_p", "lo_q") < F.greatest("hi_p", "hi_q")
+    met = p.join(q, "h").filter((F.col("p") <= F.col("q")) & several & possible).select("h", "p", "q")
+    cells = rest.select("h", "kind", "component").distinct()
+    met = met.join(cells.select("h", F.col("kind").alias("p"), F.col("component").alias("ca")), ["h", "p"])
+    met = met.join(cells.select("h", F.col("kind").alias("q"), F.col("component").alias("cb")), ["h", "q"])
+    met = met.filter((F.col("ca") != F.col("cb")) & ((F.col("p") < F.col("q")) | (F.col("ca") < F.col("cb"))))
+    met = met.join(rest.select("h", F.col("kind").alias("p"), F.col("component").alias("ca"), F.col("node").alias("a")), ["h", "p", "ca"])
+    met = met.join(rest.select("h", F.col("kind").alias("q"), F.col("component").alias("cb"), F.col("node").alias("b")), ["h", "q", "cb"])
+    return met.groupBy("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"), "ca", "cb").agg(F.count("*").alias("overlap"))
+
+
 def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of every node of the stored table `sets` (node, n, hashes ascending) that links with another."""
     sets = materialize(shared_columns(sets, num, den), "shared")
@@ -130,18 +163,19 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     # The hub is the row that lacks least: near the middle of its group.
     star = first.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lack"), "node", "n", "most")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
     star = star.select("h", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most"))
-    spokes = first.join(star, "h").filter((F.col("node") != F.col("hub")) & fits("n", "hub_n", "most", "hub_most")).groupBy("node", "hub").agg(F.count("*").alias("overlap"))
+    spokes = first.join(star, "h").groupBy("node", "hub").agg(F.count("*").alias("overlap"), F.max(fits("n", "hub_n", "most", "hub_most")).alias("fits"))
+    spokes = materialize(spokes, "spokes")
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "hub"))
-    best = spokes.withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    best = spokes.filter("fits and node != hub").withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     near = materialize(components(_checked(best, sets, num, den)), "contracted")
     # Columns that still join different components.
     placed = first.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     rest = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
-    left = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
-    right = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "h").filter((F.col("ca") < F.col("cb")) & fits("na", "nb", "ma", "mb")).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("overlap"))
+    main = spokes.withColumn("r", rank).filter("r = 1").select("node", F.col("hub").alias("ref"))
+    rest = materialize(rest.join(_profiles(main.join(rest.select("node").distinct(), "node", "left_semi"), sets), "node"), "profiled")
+    pairs = _candidates(rest, fits, least)
     most = F.col("overlap") + F.greatest(needed(F.col("na"), num, den), needed(F.col("nb"), num, den)) - 1
     across = materialize(pairs.filter(most >= least("na", "nb")), "pairs")
     joined = _checked(across, sets, num, den).join(across.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
