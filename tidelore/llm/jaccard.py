@@ -13,10 +13,10 @@ size-derived bounds exclude go before any whole row is looked at.
 4. The m columns of a row that others have are ordered by hash; linked rows share one of their first
    m - ceil(t |x|) + 1. Each of these columns links its rows to one hub in a star; every row checks its most
    frequent hubs in full, and what links is contracted. A group of near copies thus costs a few checks per row.
-5. Columns that still join different components join rows across them. Rows are first told apart by kind: sizes, main
-   hub, and how many of their shared columns that hub has. Kinds whose rows cannot link, by these counts or by step 3,
-   are excluded whole, so near copies just below the threshold are refuted by group. The pairs left add up their
-   overlap in these first columns; what stays below the bound that the sizes give goes, the rest is checked in full.
+5. Near copies around a hub are compared by the columns in which they differ from it (_deltas), so that those just below
+   the threshold rarely meet. For other pairs across components, the columns of step 4 join kinds of rows, then rows.
+   Shared columns of the index are added up; what stays below the bound that the sizes give goes, the rest is checked
+   in full.
    Every link between different texts is thus either checked or within a component already.
 
 Cases: null, empty and blank texts have no set and stand alone; a null id stands alone and its component is
@@ -122,26 +122,63 @@ def shared_columns(sets: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(judge, "node long, n long, hashes array<long>, most long, met array<long>")
 
 
-def _profiles(main: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, kind) for rows (node, ref): kind holds the row's sizes, its ref, and how many of its shared columns the ref has."""
+def _deltas(main: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (node, ref) measured against the shared columns of their hub, the body.
+
+    Adds n, most, body (its size), inside (columns in it), least_need, and prefix: the first columns by which the row
+    differs from the body. Two rows of a hub link only if they differ from it in at least
+    ceil(t / (1 + t) (n + n')) - inside - inside' + body equal columns, which least_need bounds from below. The prefix
+    is null where the row is so far from the hub that its plain columns are the shorter index.
+    """
     own = sets.select("node", "n", "most", "met")
-    hubs = sets.select(F.col("node").alias("ref"), "hashes")
-    inside = F.size(F.array_intersect("met", "hashes")).cast("long")
-    return main.join(own, "node").join(hubs, "ref").select("node", F.struct("ref", "n", "most", inside.alias("inside")).alias("kind"))
+    hubs = sets.select(F.col("node").alias("ref"), F.col("met").alias("hub"))
+    both = main.join(own, "node").join(hubs, "ref")
+    delta = F.sort_array(F.concat(F.array_except("met", "hub"), F.array_except("hub", "met")))
+    rows = both.select("node", "ref", "n", "most", F.size("hub").cast("long").alias("body"), delta.alias("delta"))
+    rows = rows.withColumn("inside", ((F.col("most") + F.col("body") - F.size("delta")) / 2).cast("long"))
+    rows = rows.withColumn("least_need", F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("body")) * num / (num + den)) - F.col("inside")))
+    length = F.greatest(F.lit(0), F.size("delta") - F.col("least_need") + 1).cast("int")
+    plain = F.col("most") - needed(F.col("n"), num, den) + 1
+    return rows.withColumn("prefix", F.when(length <= 2 * plain, F.slice("delta", F.lit(1), length))).drop("delta")
+
+
+def _certain(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that need no check: rows x, y of a hub overlap in inside + inside' - body columns at least. All
+    rows that have such a partner have it in the row of the hub with the largest v."""
+    v = F.col("inside") * (num + den) - F.col("n") * num
+    top = rows.groupBy("ref").agg(F.max(F.struct(v.alias("v"), "node")).alias("top"))
+    found = rows.withColumn("v", v).join(top, "ref").filter((F.col("node") != F.col("top.node")) & (F.col("v") + F.col("top.v") >= F.col("body") * (num + den)))
+    return found.select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+
+
+def _near_hubs(rows: DataFrame, near: DataFrame, least: Callable) -> DataFrame:
+    """Pairs (a, b, ca, cb) of rows of one hub in different components that may link, by the columns in which they differ from it."""
+    placed = rows.filter("prefix is not null").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    index = materialize(placed.withColumn("g", F.explode("prefix")).drop("prefix"), "differences")
+    mixed = index.groupBy("ref", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("ref", "g")
+    index = index.join(mixed, ["ref", "g"], "left_semi")
+    a = index.select("ref", "g", "body", *[F.col(c).alias(f"{x}a") for c, x in SHORT_NAMES.items()])
+    b = index.select("ref", "g", *[F.col(c).alias(f"{x}b") for c, x in SHORT_NAMES.items()])
+    need = least("na", "nb") - F.col("ia") - F.col("ib") + F.col("body")
+    lacks = F.col("body") - F.greatest("ia", "ib")
+    more = F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib"))
+    met = a.join(b, ["ref", "g"]).filter((F.col("ca") < F.col("cb")) & (lacks + more >= need))
+    met = met.groupBy("xa", "xb", "ca", "cb", need.alias("need"), F.greatest("oa", "ob").alias("o")).agg(F.count("*").alias("k"))
+    return met.filter(F.col("k") + F.col("o") - 1 >= F.col("need")).select(F.col("xa").alias("a"), F.col("xb").alias("b"), "ca", "cb")
+
+
+SHORT_NAMES = {"node": "x", "n": "n", "most": "m", "inside": "i", "least_need": "o", "component": "c"}
 
 
 def _candidates(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
     """Pairs (a, b) of rows of different components with their overlap in `rest` (h, node, component, kind).
 
-    Whole kinds of rows are compared before rows are: of two kinds with the same ref, no rows overlap in more columns than
-    the smaller count of those inside the ref and the smaller count of those outside. Then components of the kinds left
-    meet, and only then their rows.
+    Kinds (ref, n, most) are compared before rows are; ref is -1 for rows far from their hub. Kinds of one hub are left
+    to _near_hubs. Then components of the kinds left meet, and only then their rows.
     """
     kinds = rest.groupBy("h", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     p, q = (kinds.select("h", F.col("kind").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "pq")
-    inside = F.least("p.inside", "q.inside")
-    outside = F.least(F.col("p.most") - F.col("p.inside"), F.col("q.most") - F.col("q.inside"))
-    possible = fits("p.n", "q.n", "p.most", "q.most") & ((F.col("p.ref") != F.col("q.ref")) | (inside + outside >= least("p.n", "q.n")))
+    possible = fits("p.n", "q.n", "p.most", "q.most") & ((F.col("p.ref") != F.col("q.ref")) | (F.col("p.ref") < 0))
     several = F.least("lo_p", "lo_q") < F.greatest("hi_p", "hi_q")
     met = p.join(q, "h").filter((F.col("p") <= F.col("q")) & several & possible).select("h", "p", "q")
     cells = rest.select("h", "kind", "component").distinct()
@@ -167,17 +204,21 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     spokes = materialize(spokes, "spokes")
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "hub"))
     best = spokes.filter("fits and node != hub").withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = materialize(components(_checked(best, sets, num, den)), "contracted")
+    main = materialize(spokes.withColumn("r", rank).filter("r = 1").select("node", F.col("hub").alias("ref")), "refs")
+    rows = materialize(_deltas(main, sets, num, den), "deltas")
+    near = materialize(components(_checked(best, sets, num, den).unionByName(_certain(rows, num, den))), "contracted")
     # Columns that still join different components.
     placed = first.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     rest = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
-    main = spokes.withColumn("r", rank).filter("r = 1").select("node", F.col("hub").alias("ref"))
-    rest = materialize(rest.join(_profiles(main.join(rest.select("node").distinct(), "node", "left_semi"), sets), "node"), "profiled")
+    far = F.when(F.col("prefix").isNull(), -1).otherwise(F.col("ref")).cast("long")
+    kind = F.struct(far.alias("ref"), "n", "most").alias("kind")
+    rest = materialize(rest.select("h", "node", "component").join(rows.select("node", kind), "node"), "kinds")
     pairs = _candidates(rest, fits, least)
     most = F.col("overlap") + F.greatest(needed(F.col("na"), num, den), needed(F.col("nb"), num, den)) - 1
-    across = materialize(pairs.filter(most >= least("na", "nb")), "pairs")
+    across = pairs.filter(most >= least("na", "nb")).select("a", "b", "ca", "cb")
+    across = materialize(across.unionByName(_near_hubs(rows, near, least)), "pairs")
     joined = _checked(across, sets, num, den).join(across.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
     near = near.unionByName(top.select(F.col("component").alias("node"), "component").join(near, "node", "left_anti"))
