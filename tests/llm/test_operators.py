@@ -77,6 +77,26 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_packing_added_token(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "é", "it's", "12", "x <", "。"]
+    rows = [(0, "x <|endoftext|> y"), (1, "<|endoftext|>" * 3)] + [(i, "".join(rng.choices(parts, k=rng.choice([1, 5, 20])))) for i in range(2, 200)]
+    got = {r["doc_id"]: r for r in packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"), keep_ids=True).collect()}
+    assert got[0]["ids"] == [87, 220, 50256, 331, 0]
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i]["ids"] == ids and got[i]["length"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_flat_tokens_keep_added_token_as_text(spark):
+    docs = spark.createDataFrame([(0, "x <|endoftext|> y"), (1, "z")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in flat_tokens.count_documents(flat_tokens.write_flat(docs)).collect()) == [(0, 9), (1, 1)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_plan_places_every_piece(lengths):
