@@ -204,3 +204,34 @@ def test_toxicity(spark):
     none = toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(none) == len(rows)
     assert toxicity.score_documents(docs.limit(0), lab).collect() == []
+
+
+def test_toxicity_rare_terms(spark):
+    """Every toxic word is in two examples only: no term goes with the label often, and all of them count."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(60)]
+    bad = ["".join(rng.choices("qrstuvwxyz", k=3)) + str(i) for i in range(12)]
+    rows = [(i, " ".join(rng.choices(vocab, k=6) + [bad[i % 12]] * (i < 24))) for i in range(60)]
+    rows += [(1000 + i, b) for i, b in enumerate(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, spark.createDataFrame([(i, int(i < 24)) for i in range(60)], "doc_id long, toxic int")).withColumn("h", toxicity.held_out("doc_id")).collect()}
+    taught = {i for i in range(60) if not got[i]["h"]}
+    for i in range(12):
+        assert set(got[1000 + i]["evidence"]) == {j for j in (i, i + 12) if j in taught}
+        assert got[1000 + i]["predicted"] == 1 or not got[1000 + i]["evidence"]
+
+
+def test_toxicity_nearest_are_exact():
+    rng = np.random.default_rng(7)
+    n, terms = 700, 300
+    x = rng.poisson(0.05, (n, terms)) * rng.integers(1, 4, (n, terms))
+    vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)].astype(float)) for r in x]
+    scale = rng.uniform(0.5, 9, terms)
+    ix = toxicity.build(np.arange(n), rng.integers(0, 2, n), vectors, scale, (n / 2, n / 2))
+    dense = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * scale, 0.0)[ix.ids]
+    dense /= np.maximum(np.sqrt((dense * dense).sum(1)), 1e-300)[:, None]
+    for q in range(0, n, 9):
+        t = np.flatnonzero(dense[q])
+        near, sims = ix.search(t, ix.vector(*vectors[ix.ids[q]]), 15, q) if len(t) else (np.zeros(0), np.zeros(0))
+        want = np.sort(np.delete(dense @ dense[q], q))[::-1][:15]
+        assert np.allclose(sims, want[want > 0]) and q not in near

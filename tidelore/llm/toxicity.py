@@ -1,17 +1,18 @@
 """Toxicity from the nearest labelled examples.
 
 Terms are words and their prefixes of 4 to 6 letters, so an inflected form that no example holds still meets
-its stem. The vocabulary keeps the terms that go with the label (log-likelihood ratio); document frequencies
-count all documents. Each document's TF-IDF vector meets the examples in a block-max inverted index: per term,
-postings are cut into blocks of examples with their largest weight, blocks are visited by falling bound, and
-the search stops only when no bound reaches the k-th best, so the k nearest by cosine are exact (ties to the
-smaller position). Votes weigh by 1 / (distance + c); a logistic curve fitted on the examples, each scored
+its stem. The vocabulary is all terms of the fitted examples; document frequencies count all documents. A term's
+weight is its TF-IDF times sqrt(1 + G), G being its log-likelihood ratio with the label in the examples: terms that
+go with the label count for more, none counts for nothing. Each document's vector meets the examples in a block-max
+inverted index: per term, postings are cut into blocks of examples with their largest weight, blocks are visited by
+falling bound, and the search stops only when no bound reaches the k-th best, so the k nearest by cosine are exact
+(ties to the smaller position). Votes weigh by 1 / (distance + c); a logistic curve fitted on the examples, each scored
 without itself, turns them into probabilities.
 
 The only bound is `per_class`: at most that many examples of each label are fitted, the first by a hash. Votes
 undo the uneven sampling of the labels by weights.
 
-Cases: null and empty texts, and texts without any vocabulary term, get the score of no evidence; labels that are
+Cases: null and empty texts, and texts without any term of an example, get the score of no evidence; labels that are
 null or whose document is missing teach nothing; of several labels of a document the largest counts; repeated
 rows are scored each; without examples of both labels every score is the smoothed share of label 1; an empty
 table gives an empty result; other columns are ignored.
@@ -24,6 +25,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -33,12 +37,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 PER_CLASS = 3000
-#: Most terms, and the least log-likelihood ratio, of the vocabulary.
-MAX_TERMS = 4096
-LEAST_RATIO = 20.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that a search visits first; later rounds visit twice as many as the one before.
+FIRST_BLOCKS = 8
+#: Terms whose document counts travel in one row.
+COUNTED_TERMS = 1 << 14
 FOLDS = 5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -62,44 +67,94 @@ def _likelihood(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarra
     return 2 * (part(a, na * share) + part(b, nb * share) + part(na - a, na * (1 - share)) + part(nb - b, nb * (1 - share)))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of every range, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Numbers(dict):
+    """word -> numbers of its known terms, filled as words are met."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        hit = self[word] = tuple(self.known[t] for t in word_terms(word) if t in self.known)
+        return hit
+
+    def present(self, text: str) -> np.ndarray:
+        """Known terms of a text, in no order."""
+        own = set().union(*map(self.__getitem__, set(_WORD.findall(text.lower()))))
+        return np.fromiter(own, np.int64, len(own))
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text in order, and how often it has each."""
+        words = Counter(_WORD.findall(text.lower()))
+        hits = list(map(self.__getitem__, words))
+        terms = np.fromiter(chain.from_iterable(hits), np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, hits), np.int64, len(hits)))
+        order = np.argsort(terms)
+        terms = terms[order]
+        first = np.flatnonzero(np.diff(terms, prepend=-1))
+        return terms[first], (np.add.reduceat(times[order], first) if len(first) else times).astype(float)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over the examples, which are bounded in number."""
+    """Block-max inverted index over the examples, which are bounded in number. A cell is a term in a block."""
 
+    order: np.ndarray  # position in the index -> position among the vectors it was built from
     ids: np.ndarray
     y: np.ndarray
     weight: np.ndarray
-    idf: np.ndarray
-    start: np.ndarray  # (term, block) -> first posting
+    scale: np.ndarray  # weight of a term that occurs once
+    cell: np.ndarray  # term -> first cell
+    block: np.ndarray  # cell -> block
+    peak: np.ndarray  # cell -> largest weight
+    start: np.ndarray  # cell -> first posting
     rows: np.ndarray
     values: np.ndarray
-    peak: np.ndarray  # (term, block) -> largest weight
     prior: float
     curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(tf)) * self.idf[terms]
+        v = (1 + np.log(tf)) * self.scale[terms]
         return v / np.sqrt((v * v).sum())
 
     def search(self, terms: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, nearest first."""
-        bound = v @ self.peak[terms]
-        order = np.argsort(-bound, kind="stable")
         near, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or (len(near) >= k and bound[b] < sims[k - 1] - 1e-12):
+        n_blocks = -(-len(self.ids) // BLOCK)
+        sizes = self.cell[terms + 1] - self.cell[terms]
+        cells, own = _ranges(self.cell[terms], sizes), np.repeat(v, sizes)
+        blocks = self.block[cells]
+        bound = np.bincount(blocks, weights=own * self.peak[cells], minlength=n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        turn = np.empty(n_blocks, np.min_scalar_type(n_blocks))
+        turn[order] = np.arange(n_blocks)
+        by = np.argsort(turn[blocks], kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=n_blocks)[order])])
+        done, ahead = 0, FIRST_BLOCKS
+        while done < n_blocks:
+            if bound[order[done]] <= 0 or (len(near) >= k and bound[order[done]] < sims[k - 1] - 1e-12):
                 break
-            first = b * BLOCK
-            dots = np.zeros(min(BLOCK, len(self.ids) - first))
-            for t, w in zip(terms, v):
-                s, e = self.start[t, b], self.start[t, b + 1]
-                dots[self.rows[s:e] - first] += w * self.values[s:e]
-            if without >= 0 and first <= without < first + BLOCK:
-                dots[without - first] = 0
+            stop = min(done + ahead, n_blocks)
+            pick = by[ends[done] : ends[stop]]
+            first = self.start[cells[pick]]
+            held = self.start[cells[pick] + 1] - first
+            posts = _ranges(first, held)
+            dots = np.bincount(self.rows[posts], weights=self.values[posts] * np.repeat(own[pick], held), minlength=len(self.ids))
+            if without >= 0:
+                dots[without] = 0
             found = np.flatnonzero(dots > 0)
-            near, sims = np.concatenate([near, found + first]), np.concatenate([sims, dots[found]])
+            if len(found) > k:
+                found = found[dots[found] >= np.partition(dots[found], len(found) - k)[len(found) - k]]
+            near, sims = np.concatenate([near, found]), np.concatenate([sims, dots[found]])
             top = np.lexsort((near, -sims))[:k]
             near, sims = near[top], sims[top]
+            done, ahead = stop, 2 * ahead
         return near, sims
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
@@ -111,32 +166,65 @@ class Index:
         return 1 / (1 + math.exp(-(a * math.log(raw / (1 - raw)) + b)))
 
 
-def build(ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, totals: tuple[float, float]) -> Index:
+def build(ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, totals: tuple[float, float]) -> Index:
     """Index of examples with term counts `vectors`; totals are the labelled documents of label 0 and 1."""
     prior = (totals[1] + 1) / (sum(totals) + 2)
-    lead = np.array([t[np.argmax((1 + np.log(f)) * idf[t])] if len(t) else len(idf) for t, f in vectors])
+    lead = np.array([t[np.argmax((1 + np.log(f)) * scale[t])] if len(t) else len(scale) for t, f in vectors])
     order = np.lexsort((ids, lead))  # neighbours share their heaviest term, which keeps block bounds tight
     ids, y = ids[order], y[order].astype(float)
     have = np.array([max(1, (y == c).sum()) for c in (0, 1)], float)
     weight = np.where(y == 1, totals[1] / have[1], totals[0] / have[0])
     weight = weight / weight.mean() if len(weight) else weight
-    n_blocks = max(1, -(-len(ids) // BLOCK))
-    index = Index(ids, y, weight, idf, np.zeros((len(idf), n_blocks + 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(idf), n_blocks)), prior)
+    none = np.zeros(0, np.int64)
+    index = Index(order, ids, y, weight, scale, none, none, none, none, none, none, prior)
     own = [(t, index.vector(t, f)) if len(t) else (t, f) for t, f in (vectors[o] for o in order)]
-    term = np.concatenate([t for t, _ in own]) if own else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
-    value = np.concatenate([v for _, v in own]) if own else np.zeros(0)
-    by = np.lexsort((row, term))
-    index.rows, index.values = row[by], value[by]
-    cell = term[by] * (n_blocks + 1) + row[by] // BLOCK
-    grid = np.arange(len(idf))[:, None] * (n_blocks + 1) + np.arange(n_blocks + 1)[None, :]
-    index.start = np.searchsorted(cell, grid)
-    np.maximum.at(index.peak, (term[by], row[by] // BLOCK), value[by])
-    raw = np.array([index.vote(*index.search(t, v, NEIGHBOURS, r)) if len(t) else prior for r, (t, v) in enumerate(own)])
-    index.curve = logistic(np.log(raw / (1 - raw)), y, weight) if len(raw) and 0 < y.sum() < len(y) else (1.0, 0.0)
+    term = np.concatenate([none, *[t for t, _ in own]])
+    row = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])
+    by = np.argsort(term, kind="stable")  # rows stay in order
+    term, index.rows, index.values = term[by], row[by], np.concatenate([np.zeros(0), *[v for _, v in own]])[by]
+    block = index.rows // BLOCK
+    first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+    index.start = np.append(first, len(term))
+    index.block = block[first]
+    index.peak = np.maximum.reduceat(index.values, first) if len(first) else np.zeros(0)
+    index.cell = np.searchsorted(term[first], np.arange(len(scale) + 1))
     return index
 
 
+#: The last index that this process has built.
+_BUILT: dict[str, Index] = {}
+
+
+@dataclass
+class Examples:
+    """Term counts of the examples, from which every worker builds the index for itself."""
+
+    key: str
+    ids: np.ndarray
+    y: np.ndarray
+    ends: np.ndarray
+    terms: np.ndarray
+    tf: np.ndarray
+    scale: np.ndarray
+    totals: tuple[float, float]
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[i], self.ends[i + 1])
+        return self.terms[own].astype(np.int64), self.tf[own].astype(float)
+
+    def index(self) -> Index:
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.key] = build(self.ids, self.y, [self.vector(i) for i in range(len(self.ids))], self.scale, self.totals)
+        return _BUILT[self.key]
+
+    def vote(self, at: int) -> float:
+        """Vote of the example at a position of the index, scored without itself."""
+        index = self.index()
+        terms, tf = self.vector(index.order[at])
+        return index.vote(*index.search(terms, index.vector(terms, tf), NEIGHBOURS, at)) if len(terms) else index.prior
+
+
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and intercept by Newton's method; the slope stays positive."""
     a, b = 1.0, 0.0
@@ -183,80 +271,80 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     taught = materialize(texts.join(sample, "doc_id").dropDuplicates(["doc_id"]), "examples")
     met = {r["y"]: r["n"] for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = met.get(0, 0), met.get(1, 0)
-    counted = taught.select("text", "y").mapInPandas(presence, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.filter(F.col("n0") + F.col("n1") >= 8)
-
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_likelihood(a.to_numpy(float), b.to_numpy(float), float(n0), float(n1)))
-
-    if n0 and n1:
-        ranked = counted.withColumn("g", F.pandas_udf(ratio, "double")("n0", "n1")).filter(F.col("g") >= LEAST_RATIO)
-        vocab = [r["term"] for r in ranked.orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
-    else:
-        vocab = []
-    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = number.value
-        memo: dict[str, tuple[int, ...]] = {}
-        for pdf in batches:
-            all_terms, all_tf = [], []
-            for text in pdf["text"]:
-                tf: Counter = Counter()
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    hit = memo.get(w)
-                    if hit is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        hit = memo[w] = tuple(known[t] for t in word_terms(w) if t in known)
-                    for t in hit:
-                        tf[t] += n
-                terms = sorted(tf)
-                all_terms.append(terms)
-                all_tf.append([tf[t] for t in terms])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "terms": all_terms, "tf": all_tf})
-
-    schema = "doc_id long, terms array<int>, tf array<int>"
-    sparse = materialize(texts.mapInPandas(features, schema), "features")
-    n = sparse.count()
-    df = np.zeros(len(vocab))
+    # All terms of at most 2 * per_class texts
+    known = taught.select("text", "y").mapInPandas(presence, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    met_terms = known.filter(F.lit(bool(n0 and n1))).toArrow().sort_by("term")
+    n_terms = met_terms.num_rows
+    ratio = _likelihood(met_terms["n0"].to_numpy().astype(float), met_terms["n1"].to_numpy().astype(float), float(n0), float(n1)) if n_terms else np.zeros(0)
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(met_terms["term"].to_pylist())})
+    del met_terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(number.value), np.int64)
+        numbers = Numbers(number.value)
+        seen = np.zeros(n_terms, np.int64)
         for batch in batches:
-            seen += np.bincount(batch["terms"].flatten().to_numpy(), minlength=len(seen))
-        met = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"t": pa.array(met, pa.int32()), "n": pa.array(seen[met], pa.int64())})
-
-    counts = sparse.select("terms").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    for r in counts.collect():  # at most MAX_TERMS rows
-        df[r["t"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    rows = taught.select("doc_id", "y", "text").mapInPandas(lambda batches: (out.assign(y=y) for pdf in batches for out, y in zip(features([pdf]), [pdf["y"].to_numpy()])), schema + ", y int").select("doc_id", "y", "terms", "tf").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    vectors = [(np.array(r["terms"], np.int64), np.array(r["tf"], float)) for r in rows]
-    index = build(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), vectors, idf, totals)
-    shared = spark.sparkContext.broadcast(index)
+            for text in batch["text"]:
+                seen[numbers.present(text.as_py())] += 1
+        parts = range(0, n_terms if seen.any() else 0, COUNTED_TERMS)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int32()), "seen": pa.array([seen[a : a + COUNTED_TERMS].tobytes() for a in parts], pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "seen": pa.array([sum(np.frombuffer(x.as_py(), np.int64) for x in table["seen"]).tobytes()], pa.binary())})
+
+    n = texts.count()
+    df = np.zeros(n_terms)
+    schema = "part int, seen binary"
+    for r in texts.select("text").mapInArrow(frequencies, schema).groupBy("part").applyInArrow(total, schema).toLocalIterator():
+        df[r["part"] : r["part"] + COUNTED_TERMS] = np.frombuffer(r["seen"], np.int64)
+    scale = (np.log((n + 1) / (df + 1)) + 1) * np.sqrt(1 + np.maximum(ratio, 0))
+
+    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers(number.value)
+        for pdf in batches:
+            own = [numbers.counts(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [t.astype("<i4").tobytes() for t, _ in own], "tf": [f.astype("<i4").tobytes() for _, f in own]})
+
+    rows = taught.select("doc_id", "y", "text").mapInPandas(teach, "doc_id long, y int, terms binary, tf binary").toArrow().sort_by("doc_id")
+    terms, tf = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), "<i4") for c in ("terms", "tf"))
+    ends = np.cumsum([0, *[len(x.as_py()) // 4 for x in rows["terms"]]])
+    taught_by = Examples(uuid4().hex, rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), ends, terms, tf, scale, totals)
+    n_examples = rows.num_rows
+    shared = spark.sparkContext.broadcast(taught_by)
+    del rows, terms, tf, taught_by
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ix = shared.value.index()
+            at = pdf["id"].to_numpy()
+            yield pd.DataFrame({"at": at, "raw": [shared.value.vote(i) for i in at], "y": ix.y[at], "weight": ix.weight[at]})
+
+    curve = (1.0, 0.0)
+    if n_examples:
+        own = spark.range(n_examples).mapInPandas(votes, "at long, raw double, y double, weight double").toArrow().sort_by("at")
+        raw, y, weight = (own[c].to_numpy() for c in ("raw", "y", "weight"))
+        curve = logistic(np.log(raw / (1 - raw)), y, weight) if 0 < y.sum() < len(y) else curve
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
-        memo: dict[tuple, tuple[float, list[int]]] = {}
+        ix = shared.value.index()
+        ix.curve = curve
+        numbers = Numbers(number.value)
+        done: dict[bytes, tuple[float, list[int]]] = {}
         for pdf in batches:
             scores, evidence = [], []
-            for terms, tf in zip(pdf["terms"], pdf["tf"]):
-                key = (*terms, -1, *tf)
-                if key not in memo:
-                    if len(memo) > 100_000:
-                        memo.clear()
+            for text in pdf["text"]:
+                key = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in done:
+                    if len(done) > 100_000:
+                        done.clear()
                     near, sims = np.zeros(0, np.int64), np.zeros(0)
-                    if len(terms) and len(ix.ids):
-                        t = np.asarray(terms, np.int64)
-                        near, sims = ix.search(t, ix.vector(t, np.asarray(tf, float)), NEIGHBOURS)
-                    memo[key] = (ix.score(ix.vote(near, sims)), ix.ids[near[:3]].tolist())
-                s, e = memo[key]
+                    terms, tf = numbers.counts(text)
+                    if len(terms):
+                        near, sims = ix.search(terms, ix.vector(terms, tf), NEIGHBOURS)
+                    done[key] = (ix.score(ix.vote(near, sims)), ix.ids[near[:3]].tolist())
+                s, e = done[key]
                 scores.append(s)
                 evidence.append(e)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": scores, "evidence": evidence})
 
-    out = sparse.mapInPandas(score, "doc_id long, score double, evidence array<long>")
+    out = texts.mapInPandas(score, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
