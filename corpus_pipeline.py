@@ -15,11 +15,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id (five words, similarity 0.8); of rows that
-    repeat that id, one. Null ids stay."""
-    extra = jaccard.jaccard_components(docs, words=5, num=80, den=100).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """One row of each group of near copies stays, the one with the smallest id (five words, similarity 0.8); of rows
+    that repeat both id and text, one. Rows that share only their id are documents of their own. Null ids stay."""
+    rows = materialize(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    copies = jaccard.jaccard_components(rows, words=5, num=80, den=100, id_col="_row").filter("component_id <> doc_id").select(F.col("doc_id").alias("_row"), "component_id")
+    members = materialize(copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct()).join(rows.select("_row", "doc_id"), "_row"), "members")
+    stay = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    kept = rows.join(members.join(stay, "_row", "left_anti").select("_row"), "_row", "left_anti").select(*docs.columns)
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
