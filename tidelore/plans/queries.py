@@ -290,8 +290,7 @@ def resume_packet(spark, sf):
 
 
 def excerpts(spark, sf):
-    t = _turns(spark, sf).filter(F.length("content") > 300)
-    return t.select("turn_id", excerpt.excerpt(F.col("content"), F.lit(QUERY), 300).alias("excerpt"))
+    return _turns(spark, sf).select("turn_id", excerpt.excerpt(F.col("content"), F.lit(QUERY), 300).alias("excerpt"))
 
 
 def export_markdown(spark, sf):
