@@ -3,12 +3,13 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidelore.llm import chat, flat_tokens, hilbert, mixing, packing, pii, segments, toxicity
+from tidelore.llm import chat, flat_tokens, hilbert, lexicon, mixing, packing, pii, segments, toxicity
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -221,17 +222,62 @@ def test_toxicity_rare_terms(spark):
         assert got[1000 + i]["predicted"] == 1 or not got[1000 + i]["evidence"]
 
 
-def test_toxicity_nearest_are_exact():
+@pytest.mark.parametrize("common", [0.001, 0.05, 2.0])
+def test_toxicity_nearest_are_exact(common, monkeypatch):
+    """Blocks, posting lists and both together against all cosines; a third of the examples are copies, so ties are frequent."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(7)
     n, terms = 700, 300
     x = rng.poisson(0.05, (n, terms)) * rng.integers(1, 4, (n, terms))
-    vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)].astype(float)) for r in x]
-    scale = rng.uniform(0.5, 9, terms)
-    ix = toxicity.build(np.arange(n), rng.integers(0, 2, n), vectors, scale, (n / 2, n / 2))
-    dense = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * scale, 0.0)[ix.ids]
+    x[rng.random(n) < 0.33] = x[3]
+    ids, scale = rng.permutation(n) + 10, rng.uniform(0.5, 9, terms)
+    row, term = np.nonzero(x)
+    ix = toxicity.Index(ids, rng.integers(0, 2, n), (row, term, x[row, term].astype(float)), scale, (n / 2, n / 2))
+    dense = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * scale, 0.0)
     dense /= np.maximum(np.sqrt((dense * dense).sum(1)), 1e-300)[:, None]
-    for q in range(0, n, 9):
-        t = np.flatnonzero(dense[q])
-        near, sims = ix.search(t, ix.vector(*vectors[ix.ids[q]]), 15, q) if len(t) else (np.zeros(0), np.zeros(0))
-        want = np.sort(np.delete(dense @ dense[q], q))[::-1][:15]
-        assert np.allclose(sims, want[want > 0]) and q not in near
+    stored = dense.astype(np.float32).astype(float)
+    own = ix.order[: n // 2]
+    d, t = np.nonzero(x[own])
+    for without in (None, np.arange(len(own))):
+        got = ix.nearest(d, t, x[own][d, t].astype(float), len(own), 15, without)
+        for q, (near, sims) in zip(own, got):
+            want = np.round(stored @ dense[q], 12)
+            if without is not None:
+                want[q] = -1
+            best = [i for i in np.lexsort((ids, -want))[:15] if want[i] > 0]
+            assert np.allclose(sims, want[best], atol=1e-11) and ix.ids[near].tolist() == ids[best].tolist()
+
+
+TEXTS = st.lists(st.text(st.sampled_from("abcdefgh\u00e9\u0130\u00df1_ \n-\u2014\U0001d54f"), max_size=60), max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS, TEXTS)
+def test_lexicon_counts_equal_words(fitted, texts):
+    def terms(text):
+        words = Counter(re.findall(r"[^\W_]+", text.lower()))
+        out = Counter()
+        for w, n in words.items():
+            for t in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)]:
+                out[t] += n
+        return out
+
+    _, found, above = lexicon.distinct_terms(fitted)
+    hashes, at = np.unique(found, return_index=True)
+    lex = lexicon.Lexicon(hashes, np.where(above[at] == 0, -1, np.searchsorted(hashes, above[at])))
+    known = set().union(*map(terms, fitted))
+    assert len(known) == len(lex)
+    doc, term, times = lex.counts(texts)
+    for i, text in enumerate(texts):
+        want = {t: n for t, n in terms(text).items() if t in known}
+        assert sorted(times[doc == i].tolist()) == sorted(want.values())
+    assert (lex.presence(texts) == np.bincount(term, minlength=len(lex))).all()
+
+
+def test_lexicon_cuts_long_texts_between_words(monkeypatch):
+    text = " ".join(["alpha", "be", "x" * 900] * 200)
+    _, found, _ = lexicon.distinct_terms([text])
+    whole = lexicon.Lexicon(np.unique(found), np.full(len(found), -1)).counts([text])
+    monkeypatch.setattr(lexicon, "STRETCH", 512)
+    cut = lexicon.Lexicon(np.unique(found), np.full(len(found), -1)).counts([text])
+    assert [x.tolist() for x in whole] == [x.tolist() for x in cut]

@@ -5,58 +5,57 @@ its stem. The vocabulary is all terms of the fitted examples; document frequenci
 weight is its TF-IDF times sqrt(1 + G), G being its log-likelihood ratio with the label in the examples: terms that
 go with the label count for more, none counts for nothing. Each document's vector meets the examples in a block-max
 inverted index: per term, postings are cut into blocks of examples with their largest weight, blocks are visited by
-falling bound, and the search stops only when no bound reaches the k-th best, so the k nearest by cosine are exact
-(ties to the smaller position). Votes weigh by 1 / (distance + c); a logistic curve fitted on the examples, each scored
-without itself, turns them into probabilities.
+falling bound, and a block is left out only if its bound does not reach the k-th best, so the k nearest by cosine are
+exact (ties to the smaller id). Documents are searched a few hundred at a time, so that a block's common terms are one
+matrix product for all documents that visit it. Votes weigh by 1 / (distance + c); a logistic curve fitted on the
+examples, each scored without itself, turns them into probabilities.
 
 The only bound is `per_class`: at most that many examples of each label are fitted, the first by a hash. Votes
 undo the uneven sampling of the labels by weights.
 
 Cases: null and empty texts, and texts without any term of an example, get the score of no evidence; labels that are
-null or whose document is missing teach nothing; of several labels of a document the largest counts; repeated
-rows are scored each; without examples of both labels every score is the smoothed share of label 1; an empty
+null or whose document is missing teach nothing; of several labels of a document the largest counts, and of several
+texts the first in order; repeated rows are scored each; without examples of both labels every score is the smoothed share of label 1; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
-from itertools import chain
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import materialize
+from .lexicon import Lexicon, distinct_terms
 
 PER_CLASS = 3000
-PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks that a search visits first; later rounds visit twice as many as the one before.
+#: Blocks of each document that a search visits first.
 FIRST_BLOCKS = 8
+#: Share of the examples from which on a term is common, groups of similar examples, documents that are searched at once.
+COMMON = 0.05
+GROUPS = 16
+TOGETHER = 512
+#: Postings of one line; a list fills whole lines, the last one with zeros.
+LINE = 16
+#: Error of a cosine in single precision, and more.
+SLACK = 1e-4
 #: Terms whose document counts travel in one row.
 COUNTED_TERMS = 1 << 14
 FOLDS = 5
 
-_WORD = re.compile(r"[^\W_]+")
-
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def word_terms(word: str) -> list[str]:
-    return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n]]
-
-
 def _likelihood(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
     """G squared of a presence count in two samples."""
 
@@ -72,90 +71,116 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-class Numbers(dict):
-    """word -> numbers of its known terms, filled as words are met."""
-
-    def __init__(self, known: dict[str, int]):
-        self.known = known
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        hit = self[word] = tuple(self.known[t] for t in word_terms(word) if t in self.known)
-        return hit
-
-    def present(self, text: str) -> np.ndarray:
-        """Known terms of a text, in no order."""
-        own = set().union(*map(self.__getitem__, set(_WORD.findall(text.lower()))))
-        return np.fromiter(own, np.int64, len(own))
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text in order, and how often it has each."""
-        words = Counter(_WORD.findall(text.lower()))
-        hits = list(map(self.__getitem__, words))
-        terms = np.fromiter(chain.from_iterable(hits), np.int64)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, hits), np.int64, len(hits)))
-        order = np.argsort(terms)
-        terms = terms[order]
-        first = np.flatnonzero(np.diff(terms, prepend=-1))
-        return terms[first], (np.add.reduceat(times[order], first) if len(first) else times).astype(float)
-
-
-@dataclass
 class Index:
-    """Block-max inverted index over the examples, which are bounded in number. A cell is a term in a block."""
-
-    order: np.ndarray  # position in the index -> position among the vectors it was built from
-    ids: np.ndarray
-    y: np.ndarray
-    weight: np.ndarray
-    scale: np.ndarray  # weight of a term that occurs once
-    cell: np.ndarray  # term -> first cell
-    block: np.ndarray  # cell -> block
-    peak: np.ndarray  # cell -> largest weight
-    start: np.ndarray  # cell -> first posting
-    rows: np.ndarray
-    values: np.ndarray
-    prior: float
-    curve: tuple[float, float] = (1.0, 0.0)
-
-    def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(tf)) * self.scale[terms]
-        return v / np.sqrt((v * v).sum())
-
-    def search(self, terms: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, nearest first."""
-        near, sims = np.zeros(0, np.int64), np.zeros(0)
-        n_blocks = -(-len(self.ids) // BLOCK)
-        sizes = self.cell[terms + 1] - self.cell[terms]
-        cells, own = _ranges(self.cell[terms], sizes), np.repeat(v, sizes)
-        blocks = self.block[cells]
-        bound = np.bincount(blocks, weights=own * self.peak[cells], minlength=n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        turn = np.empty(n_blocks, np.min_scalar_type(n_blocks))
-        turn[order] = np.arange(n_blocks)
-        by = np.argsort(turn[blocks], kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=n_blocks)[order])])
-        done, ahead = 0, FIRST_BLOCKS
-        while done < n_blocks:
-            if bound[order[done]] <= 0 or (len(near) >= k and bound[order[done]] < sims[k - 1] - 1e-12):
-                break
-            stop = min(done + ahead, n_blocks)
-            pick = by[ends[done] : ends[stop]]
-            first = self.start[cells[pick]]
-            held = self.start[cells[pick] + 1] - first
-            posts = _ranges(first, held)
-            dots = np.bincount(self.rows[posts], weights=self.values[posts] * np.repeat(own[pick], held), minlength=len(self.ids))
-            if without >= 0:
-                dots[without] = 0
-            found = np.flatnonzero(dots > 0)
-            if len(found) > k:
-                found = found[dots[found] >= np.partition(dots[found], len(found) - k)[len(found) - k]]
-            near, sims = np.concatenate([near, found]), np.concatenate([sims, dots[found]])
-            top = np.lexsort((near, -sims))[:k]
-            near, sims = near[top], sims[top]
-            done, ahead = stop, 2 * ahead
-        return near, sims
+    """Block-max inverted index over the examples, which are bounded in number.
+
+    Terms in a small share of the examples have posting lists, kept in lines. The postings of the others (`common`) are rows of a
+    matrix, cut into blocks of examples, with the largest weight of each term in each block in `peak`. Examples that
+    are alike are put into the same blocks, which keeps these bounds low. Weights are single-precision numbers.
+    """
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], scale: np.ndarray, totals: tuple[float, float]) -> None:
+        self.scale, self.prior, self.curve = scale, (totals[1] + 1) / (sum(totals) + 2), (1.0, 0.0)
+        n = len(ids)
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        row, term, tf = vectors
+        value = self.weights(row, term, tf, n).astype(np.float32)
+        held = np.bincount(term, minlength=len(scale))
+        self.place = np.full(len(scale), -1, np.int64)
+        common = np.flatnonzero(held >= COMMON * n)
+        self.place[common] = np.arange(len(common))
+        in_common = self.place[term] >= 0
+        dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        dense[row[in_common], self.place[term[in_common]]] = value[in_common]
+        order = np.lexsort((ids, alike(dense[:n])))
+        dense[:n] = dense[order]
+        self.dense = dense
+        self.peak = dense.reshape(self.blocks, BLOCK, len(common)).max(1).T.copy()
+        self.ids, self.y, self.order = ids[order], y[order].astype(float), order
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        row, term, value = back[row[~in_common]], term[~in_common], value[~in_common]
+        by = np.lexsort((row, term))
+        row, term, value = row[by], term[by], value[by]
+        held = np.bincount(term, minlength=len(scale))
+        lines = -(-held // LINE)
+        self.start = np.concatenate([[0], np.cumsum(lines)])
+        place = (self.start[:-1] * LINE)[term] + np.arange(len(term)) - (np.cumsum(held) - held)[term]
+        self.rows, self.values = np.zeros((self.start[-1], LINE), np.int32), np.zeros((self.start[-1], LINE), np.float32)
+        self.rows.ravel()[place], self.values.ravel()[place] = row, value
+        have = np.array([max(1, (y == c).sum()) for c in (0, 1)], float)
+        weight = np.where(self.y == 1, totals[1] / have[1], totals[0] / have[0])
+        self.weight = weight / weight.mean() if n else weight
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Unit vectors of n documents."""
+        v = (1 + np.log(tf)) * self.scale[term]
+        return v / np.sqrt(np.bincount(doc, weights=v * v, minlength=n))[doc]
+
+    def search(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray, n_docs: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n_docs vectors the k examples of largest cosine above 0, nearest first, ties to the smaller id.
+
+        The posting lists are added up first. With the peaks of the common terms they bound each block; blocks are
+        visited by falling bound, FIRST_BLOCKS of each document and then those whose bound reaches its k-th best. Single
+        precision is only used to leave examples out, with SLACK to spare; cosines are then computed in double
+        precision, and count as equal if they agree in 12 decimals.
+        """
+        width = self.blocks * BLOCK
+        place = self.place[term]
+        rare = place < 0
+        sums = self._listed(doc[rare], term[rare], v[rare], n_docs, width)
+        query = np.zeros((n_docs, self.dense.shape[1]))
+        query[doc[~rare], place[~rare]] = v[~rare]
+        single = query.astype(np.float32)
+        bound = single @ self.peak + sums.reshape(n_docs, self.blocks, BLOCK).max(2)
+        found = np.full((n_docs, width), -1.0, np.float32)
+        first = min(FIRST_BLOCKS, self.blocks)
+        turn = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        wanted = np.zeros((n_docs, self.blocks), bool)
+        np.put_along_axis(wanted, turn, True, 1)
+        wanted &= bound > 0
+        self._visit(wanted, single, sums, found, without)
+        best = np.take_along_axis(found.reshape(n_docs, self.blocks, BLOCK), turn[:, :, None], 1).reshape(n_docs, -1)
+        kth = np.maximum(-np.partition(-best, min(k, best.shape[1]) - 1, axis=1)[:, min(k, best.shape[1]) - 1], 0)
+        self._visit((bound >= kth[:, None] - SLACK) & (bound > 0) & ~wanted, single, sums, found, without)
+        out = []
+        for d in range(n_docs):
+            near = np.flatnonzero(found[d] >= kth[d] - SLACK)
+            if len(near) > k:
+                least = -np.partition(-found[d][near], k - 1)[k - 1] - SLACK
+                near = near[found[d][near] >= least]
+            held = np.flatnonzero(query[d])
+            sims = np.round(sums[d, near] + self.dense[near[:, None], held].astype(float) @ query[d, held], 12)
+            near, sims = near[sims > 0], sims[sims > 0]
+            top = np.lexsort((self.ids[near], -sims))[:k]
+            out.append((near[top], sims[top]))
+        return out
+
+    def _listed(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray, n_docs: int, width: int) -> np.ndarray:
+        """Products over the posting lists, one document at a time: its sums stay in the processor's cache."""
+        out = np.zeros((n_docs, width))
+        at = self.start[term]
+        size = self.start[term + 1] - at
+        lines, own = _ranges(at, size), np.repeat(v, size)[:, None]
+        cut = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(doc, np.arange(n_docs + 1))].tolist()
+        for d, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            if a < b:
+                held = self.values.take(lines[a:b], axis=0) * own[a:b]
+                out[d] = np.bincount(self.rows.take(lines[a:b], axis=0).ravel(), weights=held.ravel(), minlength=width)
+        return out
+
+    def _visit(self, wanted: np.ndarray, single: np.ndarray, sums: np.ndarray, found: np.ndarray, without: np.ndarray | None) -> None:
+        """Fills `found` for the (document, block) pairs wanted."""
+        for b in np.flatnonzero(wanted.any(0)):
+            own = np.flatnonzero(wanted[:, b])
+            cols = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
+            found[own, cols] = single[own] @ self.dense[cols].T + sums[own, cols]
+        if without is not None:
+            found[np.arange(len(found)), without] = -1.0
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n_docs: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of term counts."""
+        return self.search(doc, term, self.weights(doc, term, tf, n_docs), n_docs, k, without)
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
         w = self.weight[near] / (1.05 - np.minimum(sims, 1.0))
@@ -166,29 +191,17 @@ class Index:
         return 1 / (1 + math.exp(-(a * math.log(raw / (1 - raw)) + b)))
 
 
-def build(ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, totals: tuple[float, float]) -> Index:
-    """Index of examples with term counts `vectors`; totals are the labelled documents of label 0 and 1."""
-    prior = (totals[1] + 1) / (sum(totals) + 2)
-    lead = np.array([t[np.argmax((1 + np.log(f)) * scale[t])] if len(t) else len(scale) for t, f in vectors])
-    order = np.lexsort((ids, lead))  # neighbours share their heaviest term, which keeps block bounds tight
-    ids, y = ids[order], y[order].astype(float)
-    have = np.array([max(1, (y == c).sum()) for c in (0, 1)], float)
-    weight = np.where(y == 1, totals[1] / have[1], totals[0] / have[0])
-    weight = weight / weight.mean() if len(weight) else weight
-    none = np.zeros(0, np.int64)
-    index = Index(order, ids, y, weight, scale, none, none, none, none, none, none, prior)
-    own = [(t, index.vector(t, f)) if len(t) else (t, f) for t, f in (vectors[o] for o in order)]
-    term = np.concatenate([none, *[t for t, _ in own]])
-    row = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])
-    by = np.argsort(term, kind="stable")  # rows stay in order
-    term, index.rows, index.values = term[by], row[by], np.concatenate([np.zeros(0), *[v for _, v in own]])[by]
-    block = index.rows // BLOCK
-    first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
-    index.start = np.append(first, len(term))
-    index.block = block[first]
-    index.peak = np.maximum.reduceat(index.values, first) if len(first) else np.zeros(0)
-    index.cell = np.searchsorted(term[first], np.arange(len(scale) + 1))
-    return index
+def alike(rows: np.ndarray) -> np.ndarray:
+    """A group of similar rows for each row (a few rounds of spherical k-means); it affects the work of a search, not its result."""
+    n = len(rows)
+    if not n or not rows.shape[1]:
+        return np.zeros(n, np.int64)
+    centre = rows[np.linspace(0, n - 1, min(GROUPS, n)).astype(int)]
+    for _ in range(5):
+        own = (rows @ centre.T).argmax(1)
+        centre = np.stack([rows[own == g].sum(0) for g in range(len(centre))])
+        centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-9)
+    return own
 
 
 #: The last index that this process has built.
@@ -202,27 +215,26 @@ class Examples:
     key: str
     ids: np.ndarray
     y: np.ndarray
-    ends: np.ndarray
+    row: np.ndarray
     terms: np.ndarray
     tf: np.ndarray
     scale: np.ndarray
     totals: tuple[float, float]
 
-    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        own = slice(self.ends[i], self.ends[i + 1])
-        return self.terms[own].astype(np.int64), self.tf[own].astype(float)
-
     def index(self) -> Index:
         if self.key not in _BUILT:
             _BUILT.clear()
-            _BUILT[self.key] = build(self.ids, self.y, [self.vector(i) for i in range(len(self.ids))], self.scale, self.totals)
+            _BUILT[self.key] = Index(self.ids, self.y, (self.row.astype(np.int64), self.terms.astype(np.int64), self.tf.astype(float)), self.scale, self.totals)
         return _BUILT[self.key]
 
-    def vote(self, at: int) -> float:
-        """Vote of the example at a position of the index, scored without itself."""
-        index = self.index()
-        terms, tf = self.vector(index.order[at])
-        return index.vote(*index.search(terms, index.vector(terms, tf), NEIGHBOURS, at)) if len(terms) else index.prior
+    def votes(self, at: np.ndarray) -> list[float]:
+        """Votes of the examples at some positions of the index, each scored without itself."""
+        index, ends = self.index(), np.searchsorted(self.row, np.arange(len(self.ids) + 1))
+        own = index.order[at]
+        size = ends[own + 1] - ends[own]
+        pick = _ranges(ends[own], size)
+        near = index.nearest(np.repeat(np.arange(len(at)), size), self.terms[pick].astype(np.int64), self.tf[pick].astype(float), len(at), NEIGHBOURS, at)
+        return [index.vote(*x) for x in near]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -253,38 +265,40 @@ def _examples(labels: DataFrame, per_class: int, id_col: str, label_col: str) ->
     return chosen, (float(totals.get(0, 0)), float(totals.get(1, 0)))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per document: doc_id, score, predicted, evidence (ids of the three nearest examples)."""
+def score_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per row of docs: row (a struct of all its columns), score, evidence (ids of the three nearest examples)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen, totals = _examples(labels, per_class, id_col, label_col)
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # at most 2 * per_class rows
 
-    def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(pdf["text"], pdf["y"]):
-                seen[y].update({t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)})
-            terms = list(seen[0] | seen[1])
-            yield pd.DataFrame({"term": terms, "n0": [seen[0][t] for t in terms], "n1": [seen[1][t] for t in terms]})
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches):
+            doc, term, parent = distinct_terms(own["text"].to_pylist())
+            term, first, at = np.unique(term, return_index=True, return_inverse=True)
+            y = own["y"].to_numpy()[doc]
+            n = [np.bincount(at[y == c], minlength=len(term)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (term.view(np.int64), parent[first].view(np.int64), *n)], names=["term", "parent", "n0", "n1"])
 
-    taught = materialize(texts.join(sample, "doc_id").dropDuplicates(["doc_id"]), "examples")
+    # Of several texts of a labelled id the first in order teaches.
+    taught = materialize(texts.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")
     met = {r["y"]: r["n"] for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = met.get(0, 0), met.get(1, 0)
     # All terms of at most 2 * per_class texts
-    known = taught.select("text", "y").mapInPandas(presence, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    met_terms = known.filter(F.lit(bool(n0 and n1))).toArrow().sort_by("term")
-    n_terms = met_terms.num_rows
-    ratio = _likelihood(met_terms["n0"].to_numpy().astype(float), met_terms["n1"].to_numpy().astype(float), float(n0), float(n1)) if n_terms else np.zeros(0)
-    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(met_terms["term"].to_pylist())})
-    del met_terms
+    known = taught.select("text", "y").mapInArrow(presence, "term long, parent long, n0 long, n1 long").groupBy("term").agg(F.max("parent").alias("parent"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    met_terms = known.filter(F.lit(bool(n0 and n1))).toArrow()
+    hashes, above = (met_terms[c].to_numpy().view(np.uint64) for c in ("term", "parent"))
+    n_terms, order = len(hashes), np.argsort(hashes)
+    hashes, above = hashes[order], above[order]
+    ratio = _likelihood(*(met_terms[c].to_numpy()[order].astype(float) for c in ("n0", "n1")), float(n0), float(n1)) if n_terms else np.zeros(0)
+    words = spark.sparkContext.broadcast((hashes, np.where(above == 0, -1, np.searchsorted(hashes, above))))
+    del met_terms, hashes, above
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(number.value)
+        lexicon = Lexicon(*words.value)
         seen = np.zeros(n_terms, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                seen[numbers.present(text.as_py())] += 1
+        for own in _groups(batches):
+            seen += lexicon.presence(own["text"].to_pylist())
         parts = range(0, n_terms if seen.any() else 0, COUNTED_TERMS)
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int32()), "seen": pa.array([seen[a : a + COUNTED_TERMS].tobytes() for a in parts], pa.binary())})
 
@@ -298,53 +312,55 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         df[r["part"] : r["part"] + COUNTED_TERMS] = np.frombuffer(r["seen"], np.int64)
     scale = (np.log((n + 1) / (df + 1)) + 1) * np.sqrt(1 + np.maximum(ratio, 0))
 
-    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = Numbers(number.value)
-        for pdf in batches:
-            own = [numbers.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [t.astype("<i4").tobytes() for t, _ in own], "tf": [f.astype("<i4").tobytes() for _, f in own]})
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(*words.value)
+        for own in _groups(batches):
+            doc, term, tf = lexicon.counts(own["text"].to_pylist())
+            ends = np.searchsorted(doc, np.arange(own.num_rows + 1))
+            cut = lambda x: pa.array([x[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([own["doc_id"], own["y"], cut(term), cut(tf)], names=["doc_id", "y", "terms", "tf"])
 
-    rows = taught.select("doc_id", "y", "text").mapInPandas(teach, "doc_id long, y int, terms binary, tf binary").toArrow().sort_by("doc_id")
+    rows = taught.select("doc_id", "y", "text").mapInArrow(teach, "doc_id long, y int, terms binary, tf binary").toArrow().sort_by("doc_id")
     terms, tf = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), "<i4") for c in ("terms", "tf"))
-    ends = np.cumsum([0, *[len(x.as_py()) // 4 for x in rows["terms"]]])
-    taught_by = Examples(uuid4().hex, rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), ends, terms, tf, scale, totals)
+    row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), [len(x.as_py()) // 4 for x in rows["terms"]])
+    taught_by = Examples(uuid4().hex, rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), row, terms, tf, scale, totals)
     n_examples = rows.num_rows
     shared = spark.sparkContext.broadcast(taught_by)
-    del rows, terms, tf, taught_by
+    del rows, row, terms, tf, taught_by
 
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ix = shared.value.index()
-            at = pdf["id"].to_numpy()
-            yield pd.DataFrame({"at": at, "raw": [shared.value.vote(i) for i in at], "y": ix.y[at], "weight": ix.weight[at]})
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches):
+            ix, at = shared.value.index(), own["id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([own["id"], pa.array(shared.value.votes(at), pa.float64()), pa.array(ix.y[at]), pa.array(ix.weight[at])], names=["at", "raw", "y", "weight"])
 
     curve = (1.0, 0.0)
     if n_examples:
-        own = spark.range(n_examples).mapInPandas(votes, "at long, raw double, y double, weight double").toArrow().sort_by("at")
+        own = spark.range(n_examples).mapInArrow(votes, "at long, raw double, y double, weight double").toArrow().sort_by("at")
         raw, y, weight = (own[c].to_numpy() for c in ("raw", "y", "weight"))
         curve = logistic(np.log(raw / (1 - raw)), y, weight) if 0 < y.sum() < len(y) else curve
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value.index()
         ix.curve = curve
-        numbers = Numbers(number.value)
-        done: dict[bytes, tuple[float, list[int]]] = {}
-        for pdf in batches:
-            scores, evidence = [], []
-            for text in pdf["text"]:
-                key = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in done:
-                    if len(done) > 100_000:
-                        done.clear()
-                    near, sims = np.zeros(0, np.int64), np.zeros(0)
-                    terms, tf = numbers.counts(text)
-                    if len(terms):
-                        near, sims = ix.search(terms, ix.vector(terms, tf), NEIGHBOURS)
-                    done[key] = (ix.score(ix.vote(near, sims)), ix.ids[near[:3]].tolist())
-                s, e = done[key]
-                scores.append(s)
-                evidence.append(e)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": scores, "evidence": evidence})
-
-    out = texts.mapInPandas(score, "doc_id long, score double, evidence array<long>")
-    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+        lexicon = Lexicon(*words.value)
+        for own in _groups(batches):
+            near = ix.nearest(*lexicon.counts(own["text"].to_pylist()), own.num_rows, NEIGHBOURS)
+            scores = pa.array([ix.score(ix.vote(*x)) for x in near], pa.float64())
+            evidence = pa.array([ix.ids[x[:3]].tolist() for x, _ in near], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([own["row"], scores, evidence], names=["row", "score", "evidence"])
+
+    schema = StructType([StructField("row", docs.schema), StructField("score", DoubleType()), StructField("evidence", ArrayType(LongType()))])
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(score, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows that are worked on at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(a, TOGETHER)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per document: doc_id, score, predicted, evidence (ids of the three nearest examples)."""
+    rows = score_rows(docs.select(id_col, text_col), labels, per_class, id_col, text_col, label_col)
+    return rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
