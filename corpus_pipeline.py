@@ -9,9 +9,8 @@ from tidelore.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest-example score rejects go (predicted 1); all others stay, null ids too."""
-    rejected = toxicity.score_documents(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose own text the nearest-example score rejects go (predicted 1); all others stay, null ids and empty texts too."""
+    return toxicity.score_rows(docs, table(spark, sf_dir, "labels")).filter("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

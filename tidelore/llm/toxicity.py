@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,9 @@ FIRST_BLOCKS = 8
 #: Share of the examples from which on a term is common, groups of similar examples, documents that are searched at once.
 COMMON = 0.05
 GROUPS = 16
-TOGETHER = 512
+TOGETHER = 256
 #: Postings of one line; a list fills whole lines, the last one with zeros.
-LINE = 16
+LINE = 8
 #: Error of a cosine in single precision, and more.
 SLACK = 1e-4
 #: Terms whose document counts travel in one row.
@@ -86,7 +85,7 @@ class Index:
         row, term, tf = vectors
         value = self.weights(row, term, tf, n).astype(np.float32)
         held = np.bincount(term, minlength=len(scale))
-        self.place = np.full(len(scale), -1, np.int64)
+        self.place = np.full(len(scale), -1, np.int32)
         common = np.flatnonzero(held >= COMMON * n)
         self.place[common] = np.arange(len(common))
         in_common = self.place[term] >= 0
@@ -97,15 +96,17 @@ class Index:
         self.dense = dense
         self.peak = dense.reshape(self.blocks, BLOCK, len(common)).max(1).T.copy()
         self.ids, self.y, self.order = ids[order], y[order].astype(float), order
-        back = np.empty(n, np.int64)
+        back = np.empty(n, np.int32)
         back[order] = np.arange(n)
         row, term, value = back[row[~in_common]], term[~in_common], value[~in_common]
         by = np.lexsort((row, term))
         row, term, value = row[by], term[by], value[by]
-        held = np.bincount(term, minlength=len(scale))
+        del by, in_common
+        held[common] = 0
         lines = -(-held // LINE)
         self.start = np.concatenate([[0], np.cumsum(lines)])
-        place = (self.start[:-1] * LINE)[term] + np.arange(len(term)) - (np.cumsum(held) - held)[term]
+        place = (self.start[:-1] * LINE - np.cumsum(held) + held)[term]
+        place += np.arange(len(term))
         self.rows, self.values = np.zeros((self.start[-1], LINE), np.int32), np.zeros((self.start[-1], LINE), np.float32)
         self.rows.ravel()[place], self.values.ravel()[place] = row, value
         have = np.array([max(1, (y == c).sum()) for c in (0, 1)], float)
@@ -114,8 +115,11 @@ class Index:
 
     def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
         """Unit vectors of n documents."""
-        v = (1 + np.log(tf)) * self.scale[term]
-        return v / np.sqrt(np.bincount(doc, weights=v * v, minlength=n))[doc]
+        v = np.log(tf)
+        v += 1
+        v *= self.scale[term]
+        v /= np.sqrt(np.bincount(doc, weights=v * v, minlength=n))[doc]
+        return v
 
     def search(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray, n_docs: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of n_docs vectors the k examples of largest cosine above 0, nearest first, ties to the smaller id.
@@ -204,15 +208,10 @@ def alike(rows: np.ndarray) -> np.ndarray:
     return own
 
 
-#: The last index that this process has built.
-_BUILT: dict[str, Index] = {}
-
-
 @dataclass
 class Examples:
-    """Term counts of the examples, from which every worker builds the index for itself."""
+    """Term counts of the examples, from which every worker builds the index for itself; it goes with the broadcast that holds it."""
 
-    key: str
     ids: np.ndarray
     y: np.ndarray
     row: np.ndarray
@@ -220,12 +219,12 @@ class Examples:
     tf: np.ndarray
     scale: np.ndarray
     totals: tuple[float, float]
+    built: Index | None = None
 
     def index(self) -> Index:
-        if self.key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[self.key] = Index(self.ids, self.y, (self.row.astype(np.int64), self.terms.astype(np.int64), self.tf.astype(float)), self.scale, self.totals)
-        return _BUILT[self.key]
+        if self.built is None:
+            self.built = Index(self.ids, self.y, (self.row, self.terms, self.tf), self.scale, self.totals)
+        return self.built
 
     def votes(self, at: np.ndarray) -> list[float]:
         """Votes of the examples at some positions of the index, each scored without itself."""
@@ -233,7 +232,7 @@ class Examples:
         own = index.order[at]
         size = ends[own + 1] - ends[own]
         pick = _ranges(ends[own], size)
-        near = index.nearest(np.repeat(np.arange(len(at)), size), self.terms[pick].astype(np.int64), self.tf[pick].astype(float), len(at), NEIGHBOURS, at)
+        near = index.nearest(np.repeat(np.arange(len(at)), size), self.terms[pick], self.tf[pick], len(at), NEIGHBOURS, at)
         return [index.vote(*x) for x in near]
 
 
@@ -323,7 +322,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, i
     rows = taught.select("doc_id", "y", "text").mapInArrow(teach, "doc_id long, y int, terms binary, tf binary").toArrow().sort_by("doc_id")
     terms, tf = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), "<i4") for c in ("terms", "tf"))
     row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), [len(x.as_py()) // 4 for x in rows["terms"]])
-    taught_by = Examples(uuid4().hex, rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), row, terms, tf, scale, totals)
+    taught_by = Examples(rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), row, terms, tf, scale, totals)
     n_examples = rows.num_rows
     shared = spark.sparkContext.broadcast(taught_by)
     del rows, row, terms, tf, taught_by
