@@ -45,12 +45,13 @@ def rows_for(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,wide", [(1, 64), (2, 0)])
-def test_removal_equals_brute_force(spark, seed, wide):
+@pytest.mark.parametrize("seed,wide,many,size", [(1, 64, 64, 50), (2, 0, 64, 50), (3, 0, 1, 50), (4, 0, 0, 50), (5, 1, 2, 200), (6, 0, 0, 16)])
+def test_removal_equals_brute_force(spark, seed, wide, many, size):
+    """Anchors whole, cut at cores, and cut into single strings."""
     rows = rows_for(seed)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, bkt string, n_bytes int")
-    got = remove_repeats(docs, bucket_bytes=3000, wide_buckets=wide, sort_bytes=6000)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    got = remove_repeats(docs, size=size, bucket_bytes=3000, wide_buckets=wide, wide_segments=many, sort_bytes=6000)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, size)
 
 
 def test_empty_table(spark):

@@ -71,6 +71,46 @@ def shared_keys(sent: DataFrame, wide_buckets: int = WIDE_BUCKETS) -> DataFrame:
     return sent.groupBy("rng").applyInArrow(run, "bkt int, rng int, cell binary")
 
 
+def pair_cells(keys: np.ndarray, contents: np.ndarray, bkt: int, ranges: int) -> pa.Table:
+    """Rows of CELLS for the distinct (key, content) pairs of a bucket."""
+    order = np.lexsort((contents, keys))
+    keys, contents = keys[order], contents[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (contents[1:] != contents[:-1])
+    keys, contents = keys[new], contents[new]
+    edges = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
+    used = np.flatnonzero(np.diff(edges))
+    return pa.table([pa.array(used, pa.int32()), pa.array(np.full(len(used), bkt), pa.int32()), pa.array([pack6(keys[edges[r] : edges[r + 1]]) + pack6(contents[edges[r] : edges[r + 1]]) for r in used], pa.binary())], schema=CELLS)
+
+
+def shared_pairs(sent: DataFrame, wide_contents: int) -> DataFrame:
+    """Like shared_keys, for pairs: WIDE_BIT is set on keys with more than `wide_contents` different contents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        both = [unpack6(c.as_py()) for c in t["cell"]]
+        keys = np.concatenate([x[: len(x) // 2] for x in both])
+        contents = np.concatenate([x[len(x) // 2 :] for x in both])
+        owner = np.repeat(t["bkt"].to_numpy(), [len(x) // 2 for x in both])
+        order = np.lexsort((contents, keys))
+        keys, contents, owner = keys[order], contents[order], owner[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (contents[1:] != contents[:-1])]
+        n = np.diff(np.r_[first, len(keys)])
+        many = np.repeat(np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), n)
+        keys = np.where(np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > wide_contents, n), keys | WIDE_BIT, keys)[many]
+        owner = owner[many]
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[new], owner[new]
+        to, at = np.unique(owner, return_index=True)
+        ends = np.r_[at[1:], len(owner)]
+        return pa.table([pa.array(to, pa.int32()), pa.array(np.full(len(to), t["rng"][0].as_py()), pa.int32()), pa.array([keys[a:b].astype("<u8").tobytes() for a, b in zip(at, ends)], pa.binary())], schema=ANSWERS)
+
+    return sent.groupBy("rng").applyInArrow(run, "bkt int, rng int, cell binary")
+
+
 def answered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The sorted shared keys of a bucket's answers, and which of them are wide."""
     raw = [np.frombuffer(c.as_py(), "<u8") for c in t["cell"]]

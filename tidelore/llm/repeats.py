@@ -9,8 +9,11 @@ bucket settles the copies that different tasks saw.
    string. Equal strings have equal anchors, and neighbouring starts mostly share one, so an anchor
    stands for a short segment of text. Buckets exchange their distinct anchors (exchange.py).
 2. Segments whose anchor occurs in two documents or more go, once per bucket and with the smallest id of
-   their documents, to the range of their anchor. Wide anchors are split into single strings and dealt by
-   content, so that no range gathers the contexts of a string that is everywhere.
+   their documents, to the range of their anchor. No range may gather all contexts of a gram that is everywhere, so
+   anchors in many buckets are cut once more, by what their strings surely hold beside the gram: those that begin far
+   before it hold the bytes before it, the others those behind it. These cores are exchanged like anchors, with a
+   hash of their segment: cores that one document has go nowhere, and only those with many different segments, at the
+   edges of what is everywhere, are cut into single strings and dealt by content.
 3. A range sorts the suffixes of its distinct segments in two stages (suffixes.py); equal strings are
    neighbours, and each start learns the smallest id that has its string.
 4. Every bucket marks the bytes of its documents. Only step 3's answers travel back.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ RUN = 64
 ARRAY_BYTES = 2 << 20
 #: Bytes of text whose segments one range sorts.
 SORT_RANGE_BYTES = 16 << 20
+#: A core with more different segments than this is cut into single strings.
+WIDE_SEGMENTS = 64
 NO_ID = np.iinfo(np.int64).max
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -51,8 +57,20 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The mixed hash of each 16-byte gram."""
+    h = _BYTE[data]
+    for k, mul in enumerate(_MUL):
+        step = 1 << k
+        h = h[:-step] * mul + h[step:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def anchors(data: np.ndarray, size: int) -> np.ndarray:
-    """For each start of a string of `size` bytes, the least mixed hash of its 16-byte grams."""
+    """For each start of a string of `size` bytes, the least hash of its grams."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -60,13 +78,7 @@ def anchors(data: np.ndarray, size: int) -> np.ndarray:
     window = size - GRAM + 1
     for a in range(0, n, 1 << 16):
         b = min(n, a + (1 << 16))
-        h = _BYTE[data[a : b + size - 1]]
-        for k, mul in enumerate(_MUL):
-            step = 1 << k
-            h = h[:-step] * mul + h[step:]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+        h = grams(data[a : b + size - 1])
         span = 1
         while 2 * span <= window:
             h = np.minimum(h[:-span], h[span:])
@@ -145,27 +157,57 @@ class Bucket:
         self.key = mix64(hashes[self.start]) >> np.uint64(16) if n else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.off, self.start, "right") - 1
 
-    def segments(self, answers: pa.Table, size: int, ranges: int) -> tuple[dict[tuple[int, bytes], int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    def taken(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The runs whose anchor two documents have, and which of these anchors are wide."""
+        keys, wide = exchange.answered(answers)
+        found, at = exchange.member(keys, self.key)
+        take = np.flatnonzero(found | exchange.member(_in_two(self.key, self.doc), self.key)[0])
+        return take, (found & (wide[at] if len(wide) else False))[take]
+
+    def cores(self, runs: np.ndarray, size: int) -> "Cores":
+        """What the runs of wide anchors are cut into: stretches of starts with the same core."""
+        n = self.stop[runs] - self.start[runs]
+        s = np.repeat(self.start[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        doc = np.repeat(self.doc[runs], n)
+        at, window = np.empty(len(s), np.int64), np.arange(size - GRAM + 1)
+        h = grams(self.data) if len(s) else np.zeros(0, np.uint64)
+        for a in range(0, len(s), 1 << 15):
+            at[a : a + (1 << 15)] = h[s[a : a + (1 << 15), None] + window].argmin(1)  # the first of equal ones: the same in equal strings
+        half = len(window) // 2
+        far = at >= half
+        core = s + at - np.where(far, half, 0)
+        new = np.ones(len(s), bool)
+        new[1:] = (core[1:] != core[:-1]) | (far[1:] != far[:-1]) | (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        stop = s[np.r_[first[1:] - 1, len(s) - 1]] + 1 if len(s) else s
+        raw, s, core, far = self.data.tobytes(), s[first], core[first], far[first]
+        length = np.where(far, half + GRAM, size - half + 1)
+        mark = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=6).digest(), "little")
+        keys = [mark((b"<" if f else b">") + raw[c : c + m]) for c, m, f in zip(core.tolist(), length.tolist(), far.tolist())]
+        contents = [mark(raw[a : b + size - 1]) for a, b in zip(s.tolist(), stop.tolist())]
+        return Cores(s, stop, doc[first], np.array(keys, np.uint64), np.array(contents, np.uint64))
+
+    def segments(self, anchored: pa.Table, cored: pa.Table, size: int, ranges: int) -> tuple[dict[tuple[int, bytes], int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct segments that another document may share.
 
         Returns (range, bytes) -> number, each one's key and smallest id, and of every occurrence its first
         start, its document and its segment. A deterministic function of the bucket and the answers.
         """
-        keys, wide = exchange.answered(answers)
-        order = np.lexsort((self.doc, self.key))
-        k, d = self.key[order], self.doc[order]
-        two = np.flatnonzero((k[1:] == k[:-1]) & (d[1:] != d[:-1])) + 1
-        local = np.unique(k[two])
-        found, at = exchange.member(keys, self.key)
-        is_wide = found & (wide[at] if len(wide) else False)
-        take = np.flatnonzero(found | exchange.member(local, self.key)[0])
+        take, wide = self.taken(anchored)
+        plain, cut = take[~wide], self.cores(take[wide], size)
+        keys, many = exchange.answered(cored)
+        found, at = exchange.member(keys, cut.key)
+        live = found | exchange.member(_in_two(cut.key, cut.doc), cut.key)[0]
+        single = (found & (many[at] if len(many) else False))[live]
+        start, stop, doc, key = (np.concatenate([getattr(self, c)[plain], getattr(cut, c)[live]]) for c in ("start", "stop", "doc", "key"))
+        single = np.concatenate([np.zeros(len(plain), bool), single])
         known: dict[tuple[int, bytes], int] = {}
         own_key: list[int] = []
         least: list[int] = []
         raw = self.data.tobytes()
-        begin, doc, seg = [], [], []
-        rng = exchange.range_of(self.key, ranges)
-        for a, b, i, key, r, w in zip(self.start[take].tolist(), self.stop[take].tolist(), self.doc[take].tolist(), self.key[take].tolist(), rng[take].tolist(), is_wide[take].tolist()):
+        begin, docs, seg = [], [], []
+        rng = exchange.range_of(key, ranges)
+        for a, b, i, key, r, w in zip(start.tolist(), stop.tolist(), doc.tolist(), key.tolist(), rng.tolist(), single.tolist()):
             who = int(self.doc_id[i])
             for s, e in [(j, j + 1) for j in range(a, b)] if w else [(a, b)]:
                 piece = raw[s : e + size - 1]
@@ -179,9 +221,27 @@ class Bucket:
                 elif who < least[n]:
                     least[n] = who
                 begin.append(s)
-                doc.append(i)
+                docs.append(i)
                 seg.append(n)
-        return known, own_key, least, np.array(begin, np.int64), np.array(doc, np.int64), np.array(seg, np.int64)
+        return known, own_key, least, np.array(begin, np.int64), np.array(docs, np.int64), np.array(seg, np.int64)
+
+
+@dataclass
+class Cores:
+    """Stretches of starts (from start to before stop), the hash of their common core, and of all their bytes."""
+
+    start: np.ndarray
+    stop: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    content: np.ndarray
+
+
+def _in_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The keys that two documents have, ascending."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    return np.unique(k[np.flatnonzero((k[1:] == k[:-1]) & (d[1:] != d[:-1])) + 1])
 
 
 def _by_range(known: dict[tuple[int, bytes], int]) -> dict[int, list[tuple[bytes, int]]]:
@@ -196,7 +256,7 @@ def _sort_range(t: pa.Table, size: int) -> Iterator[tuple[int, bytes]]:
     parts = []
     for row in zip(t["bkt"].to_pylist(), t["keys"].to_pylist(), t["ids"].to_pylist(), t["lens"].to_pylist(), t["text"].to_pylist()):
         ids, text = (zstandard.decompress(c) for c in (row[2], row[4]))
-        parts.append((row[0], exchange.unpack6(row[1]), np.frombuffer(ids, "<i8"), np.frombuffer(row[3], "<u1"), text))
+        parts.append((row[0], exchange.unpack6(row[1]), np.frombuffer(ids, "<i8"), np.frombuffer(row[3], "<u2"), text))
     # Distinct segments of the range; the same bytes from several buckets are sorted once.
     number: dict[bytes, int] = {}
     key, least, refs = [], [], []
@@ -315,7 +375,7 @@ def _report(b: Bucket, gone: np.ndarray) -> pa.Table:
     return pa.concat_tables([out, gone_whole])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, bucket_bytes: int = 4 << 20, wide_buckets: int = exchange.WIDE_BUCKETS, sort_bytes: int = SORT_RANGE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, bucket_bytes: int = 4 << 20, wide_buckets: int = exchange.WIDE_BUCKETS, wide_segments: int = WIDE_SEGMENTS, sort_bytes: int = SORT_RANGE_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not GRAM <= size <= 200:
         raise ValueError(f"size must be from {GRAM} to 200")
@@ -326,14 +386,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send(t: pa.Table) -> pa.Table:
         return exchange.cells(Bucket(t, size).key, t["bkt"][0].as_py(), ranges)
 
+    def core(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return exchange.CELLS.empty_table()
+        b = Bucket(left, size)
+        take, wide = b.taken(right)
+        cores = b.cores(take[wide], size)
+        return exchange.pair_cells(cores.key, cores.content, left["bkt"][0].as_py(), ranges)
+
+    def part(t: pa.Table, kind: int) -> pa.Table:
+        return t.filter(pa.array(np.array(t["kind"].to_pylist(), int) == kind))
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"rng": [], "bkt": [], "keys": [], "ids": [], "lens": [], "text": []}
         if left.num_rows:
-            known, key, least, *_ = Bucket(left, size).segments(right, size, sort_ranges)
+            known, key, least, *_ = Bucket(left, size).segments(part(right, 0), part(right, 1), size, sort_ranges)
             bkt, squeeze = left["bkt"][0].as_py(), zstandard.ZstdCompressor(level=1).compress
             for r, pieces in _by_range(known).items():
                 own = [n for _, n in pieces]
-                row = (r, bkt, exchange.pack6(np.array([key[n] for n in own], np.uint64)), squeeze(np.array([least[n] for n in own], "<i8").tobytes()), np.array([len(p) for p, _ in pieces], "<u1").tobytes(), squeeze(b"".join(p for p, _ in pieces)))
+                row = (r, bkt, exchange.pack6(np.array([key[n] for n in own], np.uint64)), squeeze(np.array([least[n] for n in own], "<i8").tobytes()), np.array([len(p) for p, _ in pieces], "<u2").tobytes(), squeeze(b"".join(p for p, _ in pieces)))
                 for c, v in zip(out, row):
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("rng", "bkt") else pa.binary()) for c, v in out.items()})
@@ -344,14 +415,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([rng] * len(rows), pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["bkt", "rng", "cell"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Bucket(left, size)
-        is_reply = np.array(right["reply"].to_pylist(), bool)
-        parts = b.segments(right.filter(pa.array(~is_reply)), size, sort_ranges)
-        replies = {r: c for r, c, y in zip(right["rng"].to_pylist(), right["cell"].to_pylist(), is_reply) if y}
+        b, answers = Bucket(left, size), part(right, 2)
+        parts = b.segments(part(right, 0), part(right, 1), size, sort_ranges)
+        replies = dict(zip(answers["rng"].to_pylist(), answers["cell"].to_pylist()))
         return _report(b, _marks(b, parts, replies, size))
 
-    shared = exchange.shared_keys(dealt.groupBy("bkt").applyInArrow(send, "rng int, bkt int, cell binary"), wide_buckets)
+    def of(kind: int, df: DataFrame) -> DataFrame:
+        return df.withColumn("kind", F.lit(kind))
+
+    cells = "rng int, bkt int, cell binary"
+    anchored = exchange.shared_keys(dealt.groupBy("bkt").applyInArrow(send, cells), wide_buckets)
+    cored = exchange.shared_pairs(dealt.groupBy("bkt").cogroup(anchored.groupBy("bkt")).applyInArrow(core, cells), wide_segments)
+    shared = of(0, anchored).unionByName(of(1, cored))
     segments = dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(cut, "rng int, bkt int, keys binary, ids binary, lens binary, text binary")
     replies = segments.groupBy("rng").applyInArrow(settle, "bkt int, rng int, cell binary")
-    back = shared.withColumn("reply", F.lit(False)).unionByName(replies.withColumn("reply", F.lit(True)))
+    back = shared.unionByName(of(2, replies))
     return dealt.groupBy("bkt").cogroup(back.groupBy("bkt")).applyInArrow(finish, RESULT)
