@@ -25,6 +25,8 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 19
+#: Blocks that one task makes and orders.
+BLOCKS_PER_TASK = 100_000
 #: Rows of a dimension up to which it is broadcast; beyond that Spark shuffles both sides.
 BROADCAST_ROWS = 100_000
 
@@ -121,8 +123,10 @@ def mix(
     )
     # The seeded order of a shard's blocks, and how many words of each the first and second pass take.
     order = W.partitionBy("src", "shard").orderBy(F.col("draw"), F.col("block"))
+    # Dealt before they are exploded, into a number of partitions that grows with the words: no task makes all blocks.
+    dealt = max(1, -(-int(sources.agg(F.sum("source_size")).first()[0] or 0) // (block * BLOCKS_PER_TASK)))
     cells = (
-        shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+        shards.repartition(dealt, "src", "shard").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
         .withColumn("draw", seeded(seed + "/block", F.col("src"), F.col("shard"), F.col("block")))
         .withColumn("len", F.least(F.lit(block).cast("long"), F.col("words") - F.col("block") * block))
         .withColumn("pos", F.row_number().over(order) - 1)
@@ -140,7 +144,7 @@ def mix(
     head = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     tail = F.col("end") - F.col("block") * block
     within = [F.greatest(F.lit(0), F.least(tail, F.col(c)) - head) for c in ("first", "second")]
-    taken = parts.join(cells, ["src", "shard", "block"]).groupBy("src", "shard", "start", "end").agg(F.sum(within[0] + within[1]).alias("taken"))
+    taken = parts.join(cells.hint("merge"), ["src", "shard", "block"]).groupBy("src", "shard", "start", "end").agg(F.sum(within[0] + within[1]).alias("taken"))
     return placed.join(taken, ["src", "shard", "start", "end"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, F.col("taken")), F.lit(0)).cast("long").alias("taken")
     )
