@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from tidelore.llm import shingles as shingles_module
 from tidelore.llm.components import components
 from tidelore.llm.jaccard import jaccard_components
 from tidelore.llm.shingles import shingle_sets
@@ -99,3 +100,15 @@ def test_components(spark):
         if a != b:
             assert got[a] == got[b] <= min(a, b)
     assert len(set(got.values())) == len({got[v] for v in set(got.values())})
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "bcd", "é" * 9, "x" * 150, "\n", "word"], k=rng.randint(0, 90))).encode() for _ in range(40)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = shingle_sets(data, off, 3)
+    monkeypatch.setattr(shingles_module, "CHUNK", 64)
+    shingles_module._usual_powers.cache_clear()
+    cut = shingle_sets(data, off, 3)
+    shingles_module._usual_powers.cache_clear()
+    assert [x.tolist() for x in whole] == [x.tolist() for x in cut]

@@ -18,28 +18,51 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 20
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(size)
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK)
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash; the bytes are read in pieces that end where no word is."""
     word = ~_SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    bounds = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
-    first[bounds] = word[bounds]
-    last[bounds - 1] = word[bounds - 1]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
-    words = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    at = 0
+    while at < len(data):
+        stop = min(len(data), at + CHUNK)
+        if stop < len(data) and word[stop] and word[stop - 1]:
+            back = np.flatnonzero(~word[at:stop])
+            if len(back):
+                stop = at + int(back[-1]) + 1
+            else:  # one word fills the piece
+                while stop < len(data) and word[stop]:
+                    more = np.flatnonzero(~word[stop : stop + CHUNK])
+                    stop = stop + int(more[0]) if len(more) else min(len(data), stop + CHUNK)
+        own = word[at:stop]
+        first, last = own.copy(), own.copy()
+        first[1:] &= ~own[:-1]
+        last[:-1] &= ~own[1:]
+        bounds = off[(off > at) & (off < stop)] - at
+        first[bounds] = own[bounds]
+        last[bounds - 1] = own[bounds - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _usual_powers() if stop - at <= CHUNK else _powers(stop - at)
+        sums = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(_LETTER[data[at:stop]] * up[: stop - at], out=sums[1:])
+        starts.append(a + at)
+        hashes.append(mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+        at = stop
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    a, words = _words(data, off)
     doc = np.searchsorted(off, a, "right") - 1
     per = np.bincount(doc, minlength=len(off) - 1)
     at = np.cumsum(per) - per
