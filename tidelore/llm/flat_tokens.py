@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import materialize
-from .packing import encoding, vocabulary
+from .packing import token_ids, vocabulary
 
 END_OF_DOCUMENT = 50256
 BLOCK_IDS = 1 << 16
@@ -34,7 +34,6 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path, pattern = vocab or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern)
         file, block, part = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         size = 0
@@ -48,7 +47,7 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield row(None, None, part, batch["doc_id"].to_pylist())
             part += 1
             for text in batch["text"]:
-                ids = enc.encode_to_numpy(text.as_py(), disallowed_special=()).astype(DTYPE)
+                ids = token_ids(text.as_py(), path, pattern, False).astype(DTYPE)
                 held += [ids, np.array([end_id], DTYPE)]
                 size += len(ids) + 1
                 if size >= block_ids:

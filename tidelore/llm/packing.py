@@ -7,8 +7,8 @@ that histogram (at most `capacity` numbers) as runs of equal moves, and every pi
 its rank among the pieces of its length. No step gathers pieces.
 
 Cases: null and empty texts are one piece, the end id alone; a literal `<|endoftext|>` in a text is the vocabulary's
-added token 50256; only documents over the capacity are cut, the
-first piece being the shorter; repeated rows and ids are packed each for itself; an empty table gives an empty
+added token 50256; texts of any length are encoded whole; only documents over the capacity are cut, the
+first piece being the shorter; repeated rows, repeated ids and null ids are packed each row for itself; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -47,6 +48,25 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+@lru_cache(maxsize=2)
+def _whole(json_path: str, added: bool):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(json_path)
+    out.encode_special_tokens = not added
+    return out
+
+
+def token_ids(text: str, ranks_path: str, pattern: str, added: bool) -> np.ndarray:
+    """Ids of a text; `added`: the literal of the added token gets its id, else it is ordinary text. Where the fast library
+    gives up (runs of about a million blanks), the JSON file of the same name gives the same ids."""
+    enc = encoding(ranks_path, pattern)
+    try:
+        return enc.encode_to_numpy(text, allowed_special="all") if added else enc.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(_whole(f"{os.path.splitext(ranks_path)[0]}.json", added).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -58,11 +78,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path, pattern = vocab or vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(token_ids(text, path, pattern, True), end_id).astype("<u4")
                 n = len(ids)
                 first = n - (math.ceil(n / capacity) - 1) * capacity
                 at = 0
@@ -148,7 +167,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (read more than once)."""
     spark = pieces.sparkSession
     salts = max(1, math.ceil(pieces.count() / RANKED_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     ahead = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
