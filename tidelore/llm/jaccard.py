@@ -15,8 +15,8 @@ size-derived bounds exclude go before any whole row is looked at.
    frequent hubs in full, and what links is contracted. A group of near copies thus costs a few checks per row.
 5. Near copies around a hub are compared by the columns in which they differ from it (_deltas), so that those just below
    the threshold rarely meet. For other pairs across components, the columns of step 4 join kinds of rows, then rows.
-   Shared columns of the index are added up; what stays below the bound that the sizes give goes, the rest is checked
-   in full.
+   Shared columns of the index are added up within the join; what stays below the bound that the sizes give goes, the
+   rest is checked in full.
    Every link between different texts is thus either checked or within a component already.
 
 Cases: null, empty and blank texts have no set and stand alone; a null id stands alone and its component is
@@ -170,8 +170,9 @@ def _near_hubs(rows: DataFrame, near: DataFrame, least: Callable) -> DataFrame:
 SHORT_NAMES = {"node": "x", "n": "n", "most": "m", "inside": "i", "least_need": "o", "component": "c"}
 
 
-def _candidates(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
-    """Pairs (a, b) of rows of different components with their overlap in `rest` (h, node, component, kind).
+def _candidates(rest: DataFrame, fits: Callable, least: Callable, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of rows of different components whose overlap in `rest` (h, at, node, component, kind, index)
+    does not exclude a link: `at` is the place of h among the row's shared columns, `index` all columns of the row in `rest`.
 
     Kinds (ref, n, most) are compared before rows are; ref is -1 for rows far from their hub. Kinds of one hub are left
     to _near_hubs. Then components of the kinds left meet, and only then their rows.
@@ -185,16 +186,22 @@ def _candidates(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
     met = met.join(cells.select("h", F.col("kind").alias("p"), F.col("component").alias("ca")), ["h", "p"])
     met = met.join(cells.select("h", F.col("kind").alias("q"), F.col("component").alias("cb")), ["h", "q"])
     met = met.filter((F.col("ca") != F.col("cb")) & ((F.col("p") < F.col("q")) | (F.col("ca") < F.col("cb"))))
-    met = met.join(rest.select("h", F.col("kind").alias("p"), F.col("component").alias("ca"), F.col("node").alias("a")), ["h", "p", "ca"])
-    met = met.join(rest.select("h", F.col("kind").alias("q"), F.col("component").alias("cb"), F.col("node").alias("b")), ["h", "q", "cb"])
-    return met.groupBy("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"), "ca", "cb").agg(F.count("*").alias("overlap"))
+    # A pair comes out once, at its first shared column, which stands early in both rows if they can link, and only if the bounds allow it.
+    a = rest.select("h", F.col("kind").alias("p"), F.col("component").alias("ca"), F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("index").alias("ia"))
+    b = rest.select(F.col("h").alias("hb"), F.col("kind").alias("kb"), F.col("component").alias("of"), F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("index").alias("ib"))
+    met = met.join(a, ["h", "p", "ca"]).filter(F.col("at_a") <= F.col("p.most") - least("p.n", "q.n"))
+    both = F.array_intersect("ia", "ib")
+    may = F.size(both) + F.greatest(needed(F.col("p.n"), num, den), needed(F.col("q.n"), num, den)) - 1 >= least("p.n", "q.n")
+    early = F.col("at_b") <= F.col("q.most") - least("p.n", "q.n")
+    same = (F.col("h") == F.col("hb")) & (F.col("q") == F.col("kb")) & (F.col("cb") == F.col("of"))
+    return met.join(b, same & early & (F.array_min(both) == F.col("h")) & may).select("a", "b", "ca", "cb")
 
 
 def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of every node of the stored table `sets` (node, n, hashes ascending) that links with another."""
     sets = materialize(shared_columns(sets, num, den), "shared")
     size = F.col("n").cast("long")
-    first = materialize(sets.select("node", "n", "most", F.explode(F.slice("met", F.lit(1), (F.col("most") - needed(size, num, den) + 1).cast("int"))).alias("h")), "columns")
+    first = materialize(sets.select("node", "n", "most", F.posexplode(F.slice("met", F.lit(1), (F.col("most") - needed(size, num, den) + 1).cast("int"))).alias("at", "h")), "columns")
     least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * num / (num + den))
     fits = lambda x, y, mx, my: F.least(mx, my) >= least(x, y)
     # The hub is the row that lacks least: near the middle of its group.
@@ -214,10 +221,9 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     rest = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
     far = F.when(F.col("prefix").isNull(), -1).otherwise(F.col("ref")).cast("long")
     kind = F.struct(far.alias("ref"), "n", "most").alias("kind")
-    rest = materialize(rest.select("h", "node", "component").join(rows.select("node", kind), "node"), "kinds")
-    pairs = _candidates(rest, fits, least)
-    most = F.col("overlap") + F.greatest(needed(F.col("na"), num, den), needed(F.col("nb"), num, den)) - 1
-    across = pairs.filter(most >= least("na", "nb")).select("a", "b", "ca", "cb")
+    index = rest.groupBy("node").agg(F.collect_list("h").alias("index"))
+    rest = materialize(rest.select("h", "at", "node", "component").join(rows.select("node", kind), "node").join(index, "node"), "kinds")
+    across = _candidates(rest, fits, least, num, den)
     across = materialize(across.unionByName(_near_hubs(rows, near, least)), "pairs")
     joined = _checked(across, sets, num, den).join(across.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
