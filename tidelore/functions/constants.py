@@ -32,9 +32,18 @@ EXPANSIONS = [
     ("保留什么 完整原始 原始历史", "完整|原始|无损|历史|原文"),
     ("原则 快小精准 三原则", "快|小|精准|原则"),
 ]
+# What raises a sentence in an excerpt: cues of the query (none: any query), pattern of the sentence, bonus.
+EXCERPT_BONUSES = [
+    ("", r"核心|决定|意味着|指|定义|提出|是:|is |means|propose", 0.05),
+    ("分钟|多久|多长时间|duration|how long", r"\d+\s*[–-]\s*\d+\s*分钟|\d+\s*分钟", 1.75),
+    ("引用|被引|citation|cited", "被引用|引用了|1 次|1次|一引|related work|reference", 1.10),
+    ("核心概念|概念是什么|concept", "dual recognition|third resistance|richer existential geometry|multidimensional positionality", 1.20),
+    ("怎么回复|如何回复|reply", "dear |confirm|确认参加|with best regards", 1.25),
+]
 # Feature weights in tenths.
 LATIN_LONG, LATIN_SHORT, LATIN_MARKED, CJK_SINGLE, CJK_PHRASE, CJK_KEY = 58, 34, 14, 34, 42, 18
 CJK_GRAMS = {2: 40, 3: 34, 4: 28}
+# What a Latin token is, and what is stripped from its ends.
 LATIN = r"[A-Za-z0-9_][A-Za-z0-9_./:+#@-]*"
 LATIN_EDGE = "./:+#@-"
 

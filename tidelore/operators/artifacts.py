@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.numbering import numbered
 from ..functions.text import media_type, with_normalized
 
 TEXT_BYTES, TEXT_CHARS = 200_000, 5000
@@ -55,8 +56,8 @@ def attach(files: DataFrame, existing: DataFrame | None = None, source_turn_id:
         first = existing.agg(F.max("attachment_id")).first()[0] or 0
         files = files.join(existing.select("sha256"), "sha256", "left_anti")
     one = files.withColumn("_n", F.row_number().over(W.partitionBy("sha256").orderBy("filename"))).filter("_n = 1").drop("_n")
-    return with_sidecars(one).select(
-        (F.lit(first) + F.row_number().over(W.orderBy("filename", "sha256"))).cast("long").alias("attachment_id"),
+    return with_sidecars(numbered(one, ["filename", "sha256"], "attachment_id", first)).select(
+        "attachment_id",
         "filename", "mime_type", "media_type", "raw_bytes", "sha256", "sidecar_text", F.lit(source_turn_id).cast("long").alias("source_turn_id"), "payload",
     )
 

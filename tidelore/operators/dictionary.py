@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.features import feature_rows
+from ..functions.numbering import numbered
 from ..functions.text import fingerprint, looked_up
 
 SIMILAR = 0.80
@@ -84,7 +85,7 @@ def fold(atoms: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 def entries(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, entry_sources) of the fold's events; ids follow the order of insertion."""
-    made = events.filter("event = 'insert'").withColumn("entry_id", F.row_number().over(W.orderBy("turn_id", "rank")).cast("long"))
+    made = numbered(events.filter("event = 'insert'"), ["turn_id", "rank"], "entry_id")
     ids = made.select(F.col("turn_id").alias("_t"), F.col("rank").alias("_r"), F.col("entry_id").alias("_id"))
     old = made.join(ids.withColumnRenamed("_id", "supersedes_id"), (F.col("old_turn") == F.col("_t")) & (F.col("old_rank") == F.col("_r")), "left")
     table = old.select("entry_id", "kind", "content", "confidence", "authority", "status", "version", "fingerprint", F.col("turn_id").alias("source_turn_id"), "supersedes_id")

@@ -1,74 +1,56 @@
-"""The most useful sentences of a long text for a query (for the few hits that are shown)."""
+"""The most useful sentences of long texts for their queries, as a top-k and a running sum over sentence rows."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as K
-
-_LATIN = re.compile(K.LATIN)
-_CJK = re.compile("[㐀-䶿一-鿿]+")
-_CUT = re.compile(r"(?<=[。！？!?])\s*|(?<=[.])\s+(?=[A-Z0-9])|\n+")
-#: Cue tables: (query cues, sentence pattern, bonus). Callers may pass their own.
-BONUSES = [
-    ("", r"核心|决定|意味着|指|定义|提出|是:|is |means|propose", 0.05),
-    ("分钟|多久|多长时间|duration|how long", r"\d+\s*[–-]\s*\d+\s*分钟|\d+\s*分钟", 1.75),
-    ("引用|被引|citation|cited", "被引用|引用了|1 次|1次|一引|related work|reference", 1.10),
-    ("怎么回复|如何回复|reply", "dear |confirm|确认参加|with best regards", 1.25),
-]
-
-
-def term_weights(text: str) -> Counter:
-    """Feature weights in tenths of a normalised text."""
-    out: Counter = Counter()
-    for raw in _LATIN.findall(text):
-        t = raw.strip(K.LATIN_EDGE).lower()
-        if len(t) >= 2 and t not in K.ENGLISH_STOP:
-            marked = any(c.isdigit() for c in t) or "." in raw or "_" in raw or raw.isupper()
-            out[t] += (K.LATIN_LONG if len(t) >= 4 else K.LATIN_SHORT) + K.LATIN_MARKED * marked
-    for run in _CJK.findall(text):
-        for n, w in K.CJK_GRAMS.items():
-            for i in range(len(run) - n + 1):
-                g = run[i : i + n]
-                if g not in K.CHINESE_STOP and g[0] not in K.CHINESE_EDGE and g[-1] not in K.CHINESE_EDGE:
-                    out[g] += w
-    return out
-
-
-def best_excerpt(text: str, query: str, max_chars: int = 900, max_sentences: int = 4) -> str:
-    if len(text) <= max_chars:
-        return text
-    parts = [p for p in (s.strip(" \t-•") for s in _CUT.split(text)) if len(p) >= 8]
-    want, low_q = term_weights(query), query.lower()
-    total = sum(want.values()) or 1
-    names = [t for t in want if len(t) >= 5]
-    scored = []
-    for i, s in enumerate(parts):
-        low, have = s.lower(), term_weights(s)
-        score = sum(w for t, w in want.items() if t in have) / total
-        if names:
-            score *= 0.25 + 1.75 * sum(a in low for a in names) / len(names)
-        score += sum(b for cues, pattern, b in BONUSES if (not cues or any(c in low_q for c in cues.split("|"))) and re.search(pattern, low))
-        scored.append((-score, i))
-    out, used = [], 0
-    for i in sorted(i for _, i in sorted(scored)[:max_sentences]):
-        extra = len(parts[i]) + bool(out)
-        if used + extra > max_chars:
-            if max_chars - used > 40:
-                out.append(parts[i][: max_chars - used - 3] + "...")
-            break
-        out.append(parts[i])
-        used += extra
-    return "\n".join(out) or text[: max_chars - 3] + "..."
-
-
-def excerpt(text: Column, query: Column, max_chars: int = 820) -> Column:
-    @F.pandas_udf("string")
-    def run(t: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([best_excerpt(a or "", b or "", max_chars) for a, b in zip(t, q)])
-
-    return run(text, query)
+from ..functions.features import postings, query_features
+from ..functions.text import anchor_ratio, any_cue, sentences, strong_anchors
+
+SENTENCES = 4
+#: Features of a sentence that count; a cut sentence keeps more than CUT_CHARS characters or goes.
+SENTENCE_TERMS, CUT_CHARS = 72, 40
+
+
+def _bonus(low_query: Column, low_sentence: Column) -> Column:
+    total = F.lit(0.0)
+    for cues, pattern, bonus in K.EXCERPT_BONUSES:
+        asked = any_cue(low_query, cues) if cues else F.lit(True)
+        total = total + F.when(asked & low_sentence.rlike(pattern), bonus).otherwise(0.0)
+    return total
+
+
+def excerpts(texts: DataFrame, keys: list[str], queries: DataFrame, max_chars: int | str = 900, most: int = SENTENCES) -> DataFrame:
+    """Adds `excerpt` to texts (keys, query_id, content); queries (query_id, query) and contents are normalised.
+
+    A text of at most `max_chars` (a number or the name of a column) stays whole. Of a longer one the `most` best sentences
+    remain in their order: each scores by the query's weight that its features cover, by the query's anchors in it and
+    by cues; they are taken while they fit, the first that does not is cut. Without sentences the text's head remains.
+    Rows with equal keys must have equal contents.
+    """
+    room = F.lit(max_chars) if isinstance(max_chars, int) else F.col(max_chars)
+    own = [*dict.fromkeys([*keys, "query_id"])]
+    long = texts.filter(F.length("content") > room).select(*own, "content", room.alias("_max")).dropDuplicates(keys)
+    rows = long.select(*own, "_max", F.posexplode(sentences(F.col("content"))).alias("_pos", "_s"))
+    terms = query_features(queries, ["query_id"], "query")
+    asked = queries.select("query_id", F.lower("query").alias("_q"), strong_anchors(F.col("query")).alias("_anchors"))
+    asked = asked.join(terms.groupBy("query_id").agg(F.sum("weight").alias("_all")), "query_id", "left")
+    have = postings(rows.select(*own, "_pos", "_s"), [*own, "_pos"], "_s", SENTENCE_TERMS)
+    covered = have.select(*own, "_pos", "term").join(terms, ["query_id", "term"]).groupBy(*keys, "_pos").agg(F.sum("weight").alias("_met"))
+    rows = rows.join(asked, "query_id").join(covered, [*keys, "_pos"], "left")
+    share = F.coalesce(F.try_divide(F.col("_met"), F.col("_all")), F.lit(0.0))
+    named = F.when(F.size("_anchors") > 0, 0.25 + 1.75 * anchor_ratio(F.col("_anchors"), F.col("_s"))).otherwise(1.0)
+    rows = rows.withColumn("_score", F.round(share * named + _bonus(F.col("_q"), F.lower("_s")), 9))
+    best = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_score"), "_pos"))).filter(F.col("_r") <= most)
+    # Ends of the sentences in the joined text; at most one of them is cut.
+    upto = W.partitionBy(*keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    best = best.withColumn("_end", F.sum(F.length("_s") + 1).over(upto) - 1)
+    begin = F.greatest(F.lit(0), F.col("_end") - F.length("_s") - 1)
+    left = F.col("_max") - begin
+    piece = F.when(F.col("_end") <= F.col("_max"), F.col("_s")).when((begin <= F.col("_max")) & (left > CUT_CHARS), F.concat(F.substring(F.col("_s"), F.lit(1), (left - 3).cast("int")), F.lit("...")))
+    kept = best.withColumn("_piece", piece).filter("_piece is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_piece"))).alias("_kept"))
+    kept = kept.select(*keys, F.array_join(F.transform("_kept", lambda k: k["_piece"]), "\n").alias("_short"))
+    head = F.concat(F.substring(F.col("content"), F.lit(1), (room - 3).cast("int")), F.lit("..."))
+    out = texts.join(kept, keys, "left")
+    return out.withColumn("excerpt", F.when(F.length("content") <= room, F.col("content")).otherwise(F.coalesce("_short", head))).drop("_short")

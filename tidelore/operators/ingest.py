@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numbering import numbered
 from ..functions.text import estimate_tokens, fingerprint, normalize_role, with_normalized
 
 BLOCK_TURNS = 16
@@ -13,13 +14,13 @@ def number_turns(items: DataFrame, existing: DataFrame | None = None) -> DataFra
     """Turns to add from items (session_id, pos, role, content, created_at, extract).
 
     Items whose (session, role, hash) exists already, here or earlier in the batch, are left out. Ids follow `pos` over all
-    sessions (one ordered pass over what is new), seq follows within each session.
+    sessions, seq follows within each session.
     """
     items = with_normalized(items.withColumn("role", normalize_role(F.col("role"))), "content", "normalized").filter("normalized <> ''")
     items = items.withColumn("content", F.col("normalized")).drop("normalized").withColumn("sha256", fingerprint(F.col("content")))
     key = ["session_id", "role", "sha256"]
     new = items.withColumn("_copy", F.row_number().over(W.partitionBy(*key).orderBy("pos"))).filter("_copy = 1").drop("_copy")
-    first_id = F.lit(0)
+    first_id = 0
     if existing is not None:
         new = new.join(existing.select(*key), key, "left_anti")
         first_id = existing.agg(F.max("turn_id")).first()[0] or 0
@@ -27,8 +28,8 @@ def number_turns(items: DataFrame, existing: DataFrame | None = None) -> DataFra
         new = new.join(seqs, "session_id", "left")
     else:
         new = new.withColumn("_seq", F.lit(0))
-    return new.select(
-        (F.lit(first_id) + F.row_number().over(W.orderBy("pos"))).cast("long").alias("turn_id"),
+    return numbered(new, ["pos"], "turn_id", first_id).select(
+        "turn_id",
         "session_id",
         (F.coalesce("_seq", F.lit(0)) + F.row_number().over(W.partitionBy("session_id").orderBy("pos"))).cast("long").alias("seq"),
         "role",

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..durable import stored
 from ..functions import constants as K
 from ..functions.features import postings, query_features
-from ..functions.text import anchor_factor, any_cue, looked_up, normalize_text, strong_anchors
+from ..functions.text import anchor_factor, any_cue, jaccard, looked_up, normalize_text, strong_anchors, with_normalized
+from .excerpt import excerpts
 
 #: Terms of a document that count for its coarse and its exact score.
 COARSE = {"turn": 64, "entry": 48, "attachment": 96}
 EXACT = {"turn": 128, "entry": 96, "attachment": 128}
 BROADCAST_ROWS = 200_000
+EXCERPT_CHARS = {"turn": 820, "attachment": 800}
 
 
 def all_postings(turns: DataFrame, entries: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -42,14 +44,15 @@ def coverage(terms: DataFrame, posted: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "hit_type", "hit_id").agg(F.sum("w").alias("exact"), F.sum(F.when(F.col("in_sketch"), F.col("w")).otherwise(0.0)).alias("coarse"))
 
 
-def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachments: DataFrame, posted: DataFrame | None = None, limit: int = 8) -> DataFrame:
-    """All hits before merging: query_id, hit_type, hit_id, kind, content, source_turn_id, score.
+def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachments: DataFrame, posted: DataFrame | None = None, limit: int = 8, shorten: bool = True) -> DataFrame:
+    """All hits before merging: query_id, hit_type, hit_id, kind, content, source_turn_id, score. Queries are folded by
+    NFKC like stored turns. Contents of turns and attachments are excerpts, or whole texts if `shorten` is false.
 
     queries (query_id, query); turns (turn_id, session_id, seq, role, content); entries (entry_id, kind, content, authority,
     confidence, source_turn_id) that are active; attachments (attachment_id, filename, mime_type, media_type, sidecar_text,
     source_turn_id).
     """
-    q = queries.select("query_id", normalize_text(F.col("query")).alias("query"))
+    q = with_normalized(queries.select("query_id", F.col("query").alias("_raw")), "_raw", "query").select("query_id", "query")
     at = attachments.select(F.col("attachment_id").alias("hit_id"), F.concat_ws(" ", "filename", "mime_type", "media_type", "sidecar_text").alias("text"), F.upper("media_type").alias("kind"), "source_turn_id")
     t = turns.select(F.col("turn_id").alias("hit_id"), F.col("content").alias("text"))
     e = entries.select(F.col("entry_id").alias("hit_id"), F.col("content").alias("text"))
@@ -98,7 +101,11 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
         .select("query_id", F.lit("turn").alias("hit_type"), "hit_id", F.lit("ASSISTANT").alias("kind"), "content", F.col("hit_id").alias("source_turn_id"), F.greatest(F.col("asked_score") * 0.96, 0.88 * F.coalesce("exact", F.lit(0.0))).alias("score"))
     )
     turns_hit = best(own.select(*out).unionByName(answers.select(*out)), width, F.desc("score"), F.desc("hit_id")).select(*out)
-    return eh.unionByName(ah).unionByName(turns_hit)
+    found = ah.unionByName(turns_hit)
+    if shorten:
+        found = stored(found.withColumn("_room", F.element_at(F.create_map(*[F.lit(x) for kv in EXCERPT_CHARS.items() for x in kv]), F.col("hit_type"))), "found")
+        found = excerpts(found, ["query_id", "hit_type", "hit_id"], q, "_room").withColumn("content", F.col("excerpt")).select(*out)
+    return eh.unionByName(found)
 
 
 def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:
@@ -124,10 +131,17 @@ def next_assistant(turns: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, key: str, text: str, max_terms: int = 48, least: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of documents whose term sets have Jaccard similarity `least` or more, by a join on terms."""
-    p = postings(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", max_terms).select("k", "term")
-    n = p.groupBy("k").agg(F.count("*").alias("n"))
-    p = p.join(n, "k")
-    a, b = (p.select("term", F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    both = a.join(b, "term").filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return both.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    """(a, b, similarity) of documents whose term sets have Jaccard similarity `least` or more.
+
+    Terms are put in order of rising frequency. Two sets of similarity t share one of the first n - ceil(t n) + 1 terms of
+    each, so only these rare ones are joined; the pairs found are then compared in full.
+    """
+    p = stored(postings(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", max_terms).select("k", "term"), "terms")
+    ordered = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
+    sets = stored(ordered.select("k", F.transform("o", lambda x: x["term"]).alias("terms"), F.size("o").alias("n")), "sets")
+    share = F.lit(least).cast("decimal(9,6)")
+    first = sets.select("k", "n", F.explode(F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int"))).alias("term"))
+    a, b = (first.select("term", F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "term").filter((F.col("a") < F.col("b")) & (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))).select("a", "b").distinct()
+    full = met.join(sets.select(F.col("k").alias("a"), F.col("terms").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("terms").alias("tb")), "b")
+    return full.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")

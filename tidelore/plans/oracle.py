@@ -183,7 +183,7 @@ SELECT turn_id, rank, kind, content, confidence FROM r WHERE rank <= CASE WHEN r
         "latin_terms": f"SELECT turn_id, t.clean AS term, count(*) AS n FROM (SELECT turn_id, unnest({_toks('content')}) AS t FROM ({TURNS})) GROUP BY turn_id, t.clean",
         "cjk_ngrams": _cjk(),
         "features_topk": f"WITH t AS ({TURNS}) SELECT turn_id, term, round(weight, 6) AS weight, rank FROM ({_ranked('t', 'turn_id', 'content', 64)})",
-        "doc_freq": f"WITH t AS (SELECT doc_id, {_norm('text')} AS body FROM documents) SELECT term, count(*) AS df FROM ({_ranked('t', 'doc_id', 'body', 96)}) GROUP BY term HAVING count(*) >= 5",
+        "doc_freq": f"WITH t AS (SELECT doc_id, {_norm('text')} AS body FROM documents) SELECT term, count(*) AS df FROM ({_ranked('t', 'doc_id', 'body', 96)}) GROUP BY term",
         "idf_query": f"""WITH t AS ({TURNS}), p AS ({_ranked('t', 'turn_id', 'content', 64)}), q AS (SELECT term, weight FROM ({_ranked('(SELECT 0 AS id, ' + _lit(QUERY) + ' AS text)', 'id', 'text', 64)})),
 d AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n FROM t)
 SELECT term, df, round(weight * (1 + greatest(0, (n - df) / n)), 9) AS idf_weight FROM q JOIN d USING (term), n""",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..durable import stored
 from ..functions.features import cjk_features, feature_rows, maybe_contains, postings, query_features, sketch_positions, sketches
+from ..functions.numbering import numbered
 from ..functions.text import anchor_factor, anchor_ratio, any_cue, estimate_tokens, fingerprint, latin_tokens, media_type, normalize_text, sentences, strong_anchors
 from ..operators import dictionary, excerpt, extract, ingest, resume, search
 from ..sources import chat
@@ -27,8 +28,9 @@ def _turns(spark: SparkSession, sf: str, cued: bool = False) -> DataFrame:
     """turn_id, session_id, seq, role, content of the conversations table; `cued` puts a cue phrase before each text."""
     c = _read(spark, sf, "conversations")
     text = F.concat(F.element_at(F.array(*[F.lit(x) for x in CUES]), (F.col("turn") % 6 + 1).cast("int")), F.col("text")) if cued else F.col("text")
-    # One order over all turns numbers them, as the store's ids do.
-    return c.select(F.row_number().over(W.orderBy("conv_id", "turn")).cast("long").alias("turn_id"), F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), "role", normalize_text(text).alias("content"))
+    rows = c.select("conv_id", "turn", "role", text.alias("text"))
+    # The order over all turns numbers them, as the store's ids do.
+    return numbered(rows, ["conv_id", "turn"], "turn_id").select("turn_id", F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), "role", normalize_text("text").alias("content"))
 
 
 def _literals(spark: SparkSession) -> DataFrame:
@@ -147,7 +149,7 @@ def features_topk(spark, sf):
 
 def doc_freq(spark, sf):
     p = postings(_read(spark, sf, "documents").select("doc_id", normalize_text("text").alias("t")), ["doc_id"], "t", 96)
-    return p.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 5")
+    return p.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf_query(spark, sf):
@@ -162,14 +164,14 @@ def idf_query(spark, sf):
 def _search(spark, sf, kind: str):
     turns, entries = _entries(spark, sf)
     q = spark.createDataFrame([(0, QUERY), (1, "next step what decided")], "query_id int, query string")
-    hits = search.score_hits(q, turns, entries.filter("status = 'active'"), _attachments(spark, sf), limit=8)
+    hits = search.score_hits(q, turns, entries.filter("status = 'active'"), _attachments(spark, sf), limit=8, shorten=False)
     return hits.filter(F.col("hit_type") == kind).select("query_id", "hit_id", F.round("score", 9).alias("score"))
 
 
 def search_exact_turns(spark, sf):
     """Turn evidence for one literal query without entries or attachments; this is the flagship query."""
     q = spark.createDataFrame([(0, QUERY)], "query_id int, query string")
-    hits = search.score_hits(q, _turns(spark, sf), _no_entries(spark), _no_attachments(spark), limit=8)
+    hits = search.score_hits(q, _turns(spark, sf), _no_entries(spark), _no_attachments(spark), limit=8, shorten=False)
     return hits.select("query_id", "hit_id", F.round("score", 9).alias("score"))
 
 
@@ -179,7 +181,7 @@ def search_exact_entries(spark, sf):
 
 def search_exact_attachments(spark, sf):
     q = spark.createDataFrame([(0, QUERY)], "query_id int, query string")
-    hits = search.score_hits(q, _turns(spark, sf), _no_entries(spark), _attachments(spark, sf), limit=8)
+    hits = search.score_hits(q, _turns(spark, sf), _no_entries(spark), _attachments(spark, sf), limit=8, shorten=False)
     return hits.filter("hit_type = 'attachment'").select("query_id", "hit_id", F.round("score", 9).alias("score"))
 
 
@@ -274,8 +276,9 @@ def sketch_search(spark, sf):
     base = query_features(spark.createDataFrame([(0, QUERY)], "query_id int, query string"), ["query_id"], "query")
     q = sketch_positions(base, b"")
     total = base.agg(F.sum("weight").alias("total"))
-    # At most 64 query terms meet every sketch: a theta join with a bounded side.
-    met = s.crossJoin(F.broadcast(q.crossJoin(F.broadcast(total)))).filter(maybe_contains(F.col("sketch"), F.col("bits")))
+    # A term's first bit finds the sketches that may hold it; then all its bits are looked up.
+    by_bit = s.select("turn_id", "sketch", F.explode("sketch").alias("bit"))
+    met = by_bit.join(q.withColumn("bit", F.col("bits")[0]), "bit").filter(maybe_contains(F.col("sketch"), F.col("bits"))).join(F.broadcast(total))
     return met.groupBy("turn_id").agg(F.round(F.sum("weight") / F.first("total"), 9).alias("coarse"))
 
 
@@ -290,7 +293,9 @@ def resume_packet(spark, sf):
 
 
 def excerpts(spark, sf):
-    return _turns(spark, sf).select("turn_id", excerpt.excerpt(F.col("content"), F.lit(QUERY), 300).alias("excerpt"))
+    turns = _turns(spark, sf).select("turn_id", F.lit(0).alias("query_id"), "content")
+    q = spark.createDataFrame([(0, QUERY)], "query_id int, query string")
+    return excerpt.excerpts(turns, ["turn_id"], q, 300).select("turn_id", "excerpt")
 
 
 def export_markdown(spark, sf):
