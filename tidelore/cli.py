@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import subprocess
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import artifacts
 from .sources import chat
-from .store import CODECS, Store, exists
+from .store import Store, exists
 
 
 def session() -> SparkSession:
@@ -31,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("create", "store", title="Untitled", codec="zstd", overwrite=False, block_turns=16)
     for name in ("build", "quick"):
-        command(name, "source", output=None, title="Untitled", format="auto", role="user", task="Continue", budget=600, recent=2)
+        command(name, "source", output=None, overwrite=False, title="Untitled", format="auto", role="user", task="Continue", budget=600, recent=2)
     for name in ("import-jsonl", "import-chat", "import-file"):
         command(name, "store", "source", format="auto", role="user", session="main")
     command("append", "store", "role", "text", session="main")
@@ -46,14 +47,21 @@ def parser() -> argparse.ArgumentParser:
     command("extract-attachment", "store", "id", "output")
     command("export", "store", "output", format="jsonl")
     command("daemon", "store", host="127.0.0.1", port=8765)
+    command("proxy", "store", "upstream", host="127.0.0.1", port=8766, mode="auto", threshold=6000, recent=2, budget=1000)
     w = sub.add_parser("wrap")
     w.add_argument("store")
     w.add_argument("argv", nargs=argparse.REMAINDER)
     return p
 
 
-def _import(store: Store, source: str, kind: str, role: str, sid: str) -> int:
-    return store.append(chat.read_chat(store.spark, source, kind, role, sid))
+def _import(store: Store, source: str, kind: str, role: str, sid: str) -> str:
+    """Imports a file, or standard input for `-`; returns a line about it."""
+    if source == "-":
+        items = chat.from_text(store.spark.createDataFrame([(sys.stdin.read(),)], "value string"), kind, role, sid)
+    else:
+        items = chat.read_chat(store.spark, source, kind, role, sid)
+    done = store.import_items(items)
+    return f"{done['turns']} turns, {done['new_turns']} new, {done['atoms']} atoms"
 
 
 def show_hits(hits: DataFrame) -> None:
@@ -73,21 +81,21 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session()
     if a.command == "create":
-        Store.create(spark, a.store, a.title, a.codec if a.codec in CODECS else "zstd", a.overwrite, a.block_turns)
+        Store.create(spark, a.store, a.title, a.codec, a.overwrite, a.block_turns)
         return 0
     if a.command in ("build", "quick"):
-        store = Store.create(spark, a.output or a.source.rsplit(".", 1)[0] + ".store", a.title, overwrite=True)
-        print(f"{store.path}: {_import(store, a.source, a.format, a.role, 'main')} turns")
+        store = Store.create(spark, a.output or a.source.rsplit(".", 1)[0] + ".store", a.title, overwrite=a.overwrite)
+        print(store.path, _import(store, a.source, a.format, a.role, "main"))
         if a.command == "quick":
             print(store.resume(a.task, a.budget, a.recent))
         return 0
-    if a.command in ("daemon", "wrap") and not exists(a.store):
+    if a.command in ("daemon", "proxy", "wrap") and not exists(a.store):
         Store.create(spark, a.store)
     store = Store(spark, a.store)
     if a.command.startswith("import-"):
         print(_import(store, a.source, "jsonl" if a.command == "import-jsonl" else a.format, a.role, a.session))
     elif a.command == "append":
-        print(store.append_turn(a.role, a.text, a.session))
+        print(store.append_turn(a.role, sys.stdin.read() if a.text == "-" else a.text, a.session))
     elif a.command == "search":
         show_hits(store.search(spark.createDataFrame([(0, a.query)], "query_id int, query string"), a.limit, evidence=not a.entries_only))
     elif a.command == "resume":
@@ -108,9 +116,8 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "attach":
         print(store.attach(a.file))
     elif a.command == "get":
-        name, key = {"T": ("turns", "turn_id"), "E": ("entries", "entry_id"), "A": ("attachments", "attachment_id")}[a.id[0].upper()]
-        rows = store.entries() if name == "entries" else store.table(name)
-        print(rows.filter(F.col(key) == int(a.id[1:])).drop("payload").first())
+        for k, v in store.get(a.id).items():
+            print(f"{k}: {v}")
     elif a.command == "extract-attachment":
         print(artifacts.restore(store.table("attachments"), int(a.id.lstrip("Aa")), a.output))
     elif a.command == "export":
@@ -121,6 +128,10 @@ def main(args: list[str] | None = None) -> int:
         from .server import serve
 
         serve(store, a.host, a.port)
+    elif a.command == "proxy":
+        from .server import serve, upstream
+
+        serve(store, a.host, a.port, send=upstream(a.upstream, os.environ.get("UPSTREAM_API_KEY", "")), mode=a.mode, threshold=a.threshold, recent=a.recent, budget=a.budget)
     return 0
 
 

@@ -49,14 +49,20 @@ def with_sidecars(files: DataFrame) -> DataFrame:
     return f.withColumn("sidecar_text", F.when(F.col("media_type") == "text", F.substring("_n", 1, TEXT_CHARS)).otherwise(F.concat(note, tail))).drop("_t", "_n")
 
 
+def distinct_files(files: DataFrame) -> DataFrame:
+    """One row per content (sha256), the first by name, and how many copies there are."""
+    same = W.partitionBy("sha256")
+    first = files.withColumn("copies", F.count("*").over(same)).withColumn("_n", F.row_number().over(same.orderBy("filename")))
+    return first.filter("_n = 1").drop("_n")
+
+
 def attach(files: DataFrame, existing: DataFrame | None = None, source_turn_id: int | None = None) -> DataFrame:
     """New attachment rows: one per content that is not stored yet, numbered after the stored ones."""
     first = 0
     if existing is not None:
         first = existing.agg(F.max("attachment_id")).first()[0] or 0
         files = files.join(existing.select("sha256"), "sha256", "left_anti")
-    one = files.withColumn("_n", F.row_number().over(W.partitionBy("sha256").orderBy("filename"))).filter("_n = 1").drop("_n")
-    return with_sidecars(numbered(one, ["filename", "sha256"], "attachment_id", first)).select(
+    return with_sidecars(numbered(distinct_files(files), ["filename", "sha256"], "attachment_id", first)).select(
         "attachment_id",
         "filename", "mime_type", "media_type", "raw_bytes", "sha256", "sidecar_text", F.lit(source_turn_id).cast("long").alias("source_turn_id"), "payload",
     )

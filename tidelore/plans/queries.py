@@ -10,8 +10,9 @@ from ..durable import stored
 from ..functions.features import cjk_features, feature_rows, maybe_contains, postings, query_features, sketch_positions, sketches
 from ..functions.numbering import numbered
 from ..functions.text import anchor_factor, anchor_ratio, any_cue, estimate_tokens, fingerprint, latin_tokens, media_type, normalize_text, sentences, strong_anchors
-from ..operators import dictionary, excerpt, extract, ingest, resume, search
+from ..operators import artifacts, dictionary, excerpt, extract, ingest, resume, search
 from ..sources import chat
+from ..store import markdown_turn
 
 QUERY = "thon tion erth ndth hean anth of reanti"
 #: Literals that no table holds: phrases, a long run, single characters, contrast, question endings.
@@ -245,8 +246,10 @@ def media_types(spark, sf):
 
 
 def attach_dedupe(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return d.groupBy("sha256").agg(F.min("doc_id").alias("attachment_id"), F.count("*").alias("copies"))
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    d = _read(spark, sf, "documents").select(name.alias("filename"), F.sha2("text", 256).alias("sha256"))
+    one = artifacts.distinct_files(d)
+    return one.select("sha256", F.substring("filename", 1, 12).cast("long").alias("attachment_id"), "copies")
 
 
 def verify_hashes(spark, sf):
@@ -300,7 +303,7 @@ def excerpts(spark, sf):
 
 def export_markdown(spark, sf):
     t = _turns(spark, sf)
-    return t.select("turn_id", F.concat(F.lit("## "), F.initcap("role"), F.lit(" · T"), "turn_id", F.lit("\n\n"), "content").alias("line"))
+    return t.select("turn_id", markdown_turn().alias("line"))
 
 
 _ALL = (

@@ -6,12 +6,14 @@ serialised by the caller (the stream and the server do so).
 
 from __future__ import annotations
 
+import hashlib
 import os
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions.text import normalize_text
 from .operators import artifacts, dictionary, extract, ingest
 from .operators.resume import resume
 from .operators.search import search
@@ -20,8 +22,10 @@ TURNS = "turn_id long, session_id string, seq long, role string, content string,
 ATOMS = "turn_id long, role string, rank int, kind string, content string, confidence double, authority double"
 ATTACHMENTS = "attachment_id long, filename string, mime_type string, media_type string, raw_bytes long, sha256 string, sidecar_text string, source_turn_id long, payload binary"
 SESSIONS = "session_id string, title string, created_at string"
+ENTRIES = "entry_id long, kind string, content string, confidence double, authority double, status string, version int, fingerprint string, source_turn_id long, supersedes_id long"
 TABLES = {"turns": TURNS, "atoms": ATOMS, "attachments": ATTACHMENTS, "sessions": SESSIONS}
-MANIFEST = "version long, title string, codec string, block_turns int, folders map<string,array<string>>"
+MANIFEST = "version long, title string, codec string, block_turns int, folders map<string,array<string>>, meta map<string,string>"
+SKETCH_BYTES = 64
 CODECS = {"none": "none", "zlib": "gzip", "zlib9": "gzip", "zstd": "zstd", "snappy": "snappy", "lz4": "lz4"}
 
 
@@ -34,7 +38,7 @@ class Store:
         if codec not in CODECS:
             raise ValueError(f"unknown codec {codec}")
         s = cls(spark, path)
-        row = spark.createDataFrame([(0, title, codec, block_turns, {})], MANIFEST)
+        row = spark.createDataFrame([(0, title, codec, block_turns, {}, {})], MANIFEST)
         row.write.mode("overwrite" if overwrite else "errorifexists").json(f"{s.path}/manifest")
         s._commit({"sessions": [s._write(spark.createDataFrame([("main", title, _now())], SESSIONS), "sessions")]})
         return s
@@ -50,11 +54,11 @@ class Store:
         df.write.option("compression", CODECS[self.manifest()["codec"]]).parquet(f"{self.path}/{folder}")
         return folder
 
-    def _commit(self, added: dict[str, list[str]], replace: bool = False) -> None:
+    def _commit(self, added: dict[str, list[str]], replace: bool = False, meta: dict[str, str] | None = None) -> None:
         m = self.manifest()
-        old = m["folders"] or {}
-        folders = {t: ([] if replace else list(old.get(t, []))) + added.get(t, []) for t in {*old, *added}}
-        row = self.spark.createDataFrame([(m["version"] + 1, m["title"], m["codec"], m["block_turns"], folders)], MANIFEST)
+        old = {t: f for t, f in (m["folders"] or {}).items() if t in TABLES or t in added}
+        folders = {t: ([] if replace or t not in TABLES else list(old.get(t, []))) + added.get(t, []) for t in {*old, *added}}
+        row = self.spark.createDataFrame([(m["version"] + 1, m["title"], m["codec"], m["block_turns"], folders, {**(m["meta"] or {}), **(meta or {})})], MANIFEST)
         row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
     def table(self, name: str) -> DataFrame:
@@ -63,6 +67,12 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{f}" for f in folders])
 
+    def set_meta(self, key: str, value: str) -> None:
+        self._commit({}, meta={key: value})
+
+    def meta(self, key: str, default: str = "") -> str:
+        return (self.manifest()["meta"] or {}).get(key, default)
+
     # ---- writing ----
 
     def new_session(self, title: str = "") -> str:
@@ -72,6 +82,10 @@ class Store:
 
     def append(self, items: DataFrame) -> int:
         """Adds items (session_id, pos, role, content, created_at, extract); returns how many turns are new."""
+        return self.import_items(items)["new_turns"]
+
+    def import_items(self, items: DataFrame) -> dict[str, int]:
+        """Adds items and sums up: turns with a text (known ones too), new turns, atoms of the new turns."""
         unknown = items.select("session_id").distinct().join(self.table("sessions"), "session_id", "left_anti").first()
         if unknown is not None:
             raise KeyError(f"unknown session {unknown['session_id']}")
@@ -79,8 +93,10 @@ class Store:
         folder = self._write(new.withColumn("created_at", F.coalesce("created_at", F.lit(_now()))), "turns")
         rows = self.spark.read.schema(TURNS + ", extract boolean").parquet(f"{self.path}/{folder}")
         atoms = extract.atoms(rows.filter("extract"), ["turn_id"]).withColumn("authority", F.lit(None).cast("double"))
-        self._commit({"turns": [folder], "atoms": [self._write(_typed(atoms, ATOMS), "atoms")]})
-        return rows.count()
+        found = self._write(_typed(atoms, ATOMS), "atoms")
+        self._commit({"turns": [folder], "atoms": [found]})
+        n_atoms = self.spark.read.schema(ATOMS).parquet(f"{self.path}/{found}").count()
+        return {"turns": items.filter(normalize_text(F.col("content")) != "").count(), "new_turns": rows.count(), "atoms": n_atoms}
 
     def append_turn(self, role: str, content: str, session_id: str = "main", extract_atoms: bool = True) -> int:
         self.append(self.spark.createDataFrame([(session_id, 0, role, content, None, extract_atoms)], "session_id string, pos long, role string, content string, created_at string, extract boolean"))
@@ -121,7 +137,15 @@ class Store:
     # ---- reading ----
 
     def entries(self) -> DataFrame:
-        """The dictionary, folded from all atoms."""
+        """The dictionary, folded from all atoms; the fold is stored and serves until atoms are added."""
+        folders = self.manifest()["folders"] or {}
+        key = "entries@" + hashlib.sha256("|".join(sorted(folders.get("atoms", []))).encode()).hexdigest()[:16]
+        if key not in folders:
+            self._commit({key: [self._write(_typed(self._folded(), ENTRIES), "entries")]})
+            folders = self.manifest()["folders"]
+        return self.spark.read.schema(ENTRIES).parquet(*[f"{self.path}/{f}" for f in folders[key]])
+
+    def _folded(self) -> DataFrame:
         from .functions.constants import AUTHORITY
         from .functions.text import looked_up
 
@@ -135,14 +159,64 @@ class Store:
     def resume(self, task: str, budget: int = 1000, recent: int = 2) -> str:
         return resume(self.spark, task, self.table("turns"), self.entries(), self.table("attachments"), self.manifest()["title"], budget, recent)
 
+    def _bytes(self, folders: list[str] | None = None) -> int:
+        """Bytes of the files of some folders, or of all that the store has written."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+        paths = [self.path] if folders is None else [f"{self.path}/{f}" for f in folders]
+        return (files.load(paths).agg(F.sum("length")).first()[0] or 0) if paths else 0
+
     def stats(self) -> dict:
-        return ingest.stats(self.table("turns"), self.entries(), self.table("attachments")).first().asDict()
+        """Identity, counts, sizes and ratios (0.0 where there is nothing to divide by)."""
+        m = self.manifest()
+        out = ingest.stats(self.table("turns"), self.entries(), self.table("attachments")).first().asDict()
+        folders, raw = m["folders"] or {}, out["raw_message_bytes"]
+        files, stored = self._bytes(), self._bytes(folders.get("turns", []))
+        return {
+            "path": self.path,
+            "title": m["title"],
+            "codec": m["codec"],
+            "format_version": m["version"],
+            **out,
+            "file_bytes": files,
+            "block_payload_compressed_bytes": stored,
+            "attachment_payload_compressed_bytes": self._bytes(folders.get("attachments", [])),
+            "query_sketch_bytes": SKETCH_BYTES * out["index_records"],
+            "payload_ratio": stored / raw if raw else 0.0,
+            "file_to_raw_ratio": files / raw if raw else 0.0,
+        }
+
+    def get(self, ident: str) -> dict:
+        """The turn, entry or attachment that T12, E3 or A1 names; turns and attachments must have the content of their hash."""
+        kinds = {"T": ("turns", "turn_id"), "E": ("entries", "entry_id"), "A": ("attachments", "attachment_id")}
+        name, key = kinds.get(ident[:1].upper(), (None, None))
+        if name is None or not ident[1:].isdigit():
+            raise ValueError("an id is T, E or A and a number")
+        rows = (self.entries() if name == "entries" else self.table(name)).filter(F.col(key) == int(ident[1:]))
+        hashed = {"turns": F.sha2("content", 256), "attachments": F.sha2("payload", 256)}.get(name)
+        row = rows.withColumn("_now", hashed if hashed is not None else F.lit(None)).drop("payload").first()
+        if row is None:
+            raise KeyError(f"no {ident}")
+        out = row.asDict()
+        now = out.pop("_now")
+        if now is not None and now != out["sha256"]:
+            raise ValueError(f"{ident}: hash mismatch")
+        return out
 
     def verify(self) -> list[str]:
-        """Problems of turns and attachments whose content and hash disagree."""
+        """Problems: folders of the manifest that can't be read, turns and attachments whose content and hash disagree."""
+        lost = [f"{t} {f}: unreadable" for t, fs in (self.manifest()["folders"] or {}).items() for f in fs if not self._readable(f)]
+        if lost:
+            return lost
         bad = self.table("attachments").filter(F.sha2("payload", 256) != F.col("sha256")).select(F.concat(F.lit("attachment "), "attachment_id", F.lit(": hash mismatch")).alias("problem"))
         return [r["problem"] for r in ingest.verify(self.table("turns")).select("problem").unionByName(bad).collect()]
 
+    def _readable(self, folder: str) -> bool:
+        try:
+            self.spark.read.parquet(f"{self.path}/{folder}").count()
+            return True
+        except Exception:
+            return False
+
     def blocks(self) -> DataFrame:
         return ingest.blocks(self.table("turns"), self.manifest()["block_turns"])
 
@@ -152,8 +226,13 @@ class Store:
 
     def export_markdown(self, output: str) -> None:
         t = self.table("turns").orderBy("turn_id")
-        line = F.concat(F.when(F.col("turn_id") == 1, f"# {self.manifest()['title']}\n\n").otherwise(""), F.lit("## "), F.initcap("role"), F.lit(" · T"), "turn_id", F.lit("\n\n"), "content", F.lit("\n"))
-        t.select(line.alias("value")).write.mode("overwrite").text(output)
+        title = F.when(F.col("turn_id") == 1, f"# {self.manifest()['title']}\n\n").otherwise("")
+        t.select(F.concat(title, markdown_turn(), F.lit("\n")).alias("value")).write.mode("overwrite").text(output)
+
+
+def markdown_turn() -> Column:
+    """A turn (turn_id, role, content) under its heading."""
+    return F.concat(F.lit("## "), F.initcap("role"), F.lit(" · T"), "turn_id", F.lit("\n\n"), "content")
 
 
 def _typed(df: DataFrame, schema: str) -> DataFrame:
