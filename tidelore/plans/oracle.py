@@ -164,7 +164,7 @@ SELECT row_number() OVER (ORDER BY turn_id) AS turn_id, session_id, row_number()
 SELECT session_id, block, min(seq) AS first_seq, max(seq) AS last_seq, min(turn_id) AS first_turn_id, max(turn_id) AS last_turn_id, count(*) AS turn_count, CAST(sum(strlen(content)) AS BIGINT) AS text_bytes FROM b GROUP BY session_id, block""",
         "role_tokens": f"SELECT role, count(*) AS turns, CAST(sum({toks}) AS BIGINT) AS tokens FROM ({TURNS}) GROUP BY role",
         "session_stats": f"SELECT session_id, count(*) AS turns, max(seq) AS last_seq, CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum({toks}) AS BIGINT) AS tokens FROM ({TURNS}) GROUP BY session_id",
-        "capsule_stats": f"""WITH t AS ({TURNS}), e AS (SELECT content, turn_id % 4 <> 0 AS live FROM t WHERE role = 'user'), a AS (SELECT strlen({_norm('text')}) AS n FROM documents),
+        "store_stats": f"""WITH t AS ({TURNS}), e AS (SELECT content, turn_id % 4 <> 0 AS live FROM t WHERE role = 'user'), a AS (SELECT strlen({_norm('text')}) AS n FROM documents),
 j AS (SELECT coalesce(string_agg(content, chr(10)) FILTER (live), '') AS content FROM e)
 SELECT (SELECT count(*) FROM t) AS turns, (SELECT count(DISTINCT session_id) FROM t) AS sessions, (SELECT CAST(sum(strlen(content)) AS BIGINT) FROM t) AS raw_message_bytes, (SELECT CAST(sum({toks}) AS BIGINT) FROM t) AS estimated_raw_tokens,
 (SELECT CAST(sum(b) AS BIGINT) FROM (SELECT (count(*) + 15) // 16 AS b FROM t GROUP BY session_id)) AS raw_blocks, (SELECT count(*) FROM e) AS all_entries, (SELECT count(*) FILTER (live) FROM e) AS active_entries,

@@ -89,7 +89,7 @@ def session_stats(spark, sf):
     return _turns(spark, sf).groupBy("session_id").agg(F.count("*").alias("turns"), F.max("seq").alias("last_seq"), F.sum(F.octet_length("content")).alias("bytes"), F.sum(estimate_tokens(F.col("content"))).alias("tokens"))
 
 
-def capsule_stats(spark, sf):
+def store_stats(spark, sf):
     t = _turns(spark, sf).withColumn("raw_bytes", F.octet_length("content").cast("long")).withColumn("estimated_tokens", estimate_tokens(F.col("content"))).withColumn("created_at", F.lit(None).cast("string"))
     e = t.filter("role = 'user'").select(F.col("turn_id").alias("entry_id"), "content", F.when(F.col("turn_id") % 4 == 0, "superseded").otherwise("active").alias("status"))
     a = _attachments(spark, sf).withColumn("raw_bytes", F.octet_length("sidecar_text").cast("long"))
@@ -307,7 +307,7 @@ def export_markdown(spark, sf):
 
 
 _ALL = (
-    turn_profile, normalized_messy, turn_dedupe, block_pack, role_tokens, session_stats, capsule_stats, sentence_split, question_flag, atom_kind_user,
+    turn_profile, normalized_messy, turn_dedupe, block_pack, role_tokens, session_stats, store_stats, sentence_split, question_flag, atom_kind_user,
     atom_kind_other, fact_candidates, atoms_topk, anchors, latin_terms, cjk_ngrams, features_topk, doc_freq, idf_query, search_exact_turns,
     search_exact_entries, search_exact_attachments, search_benchmark_batch, anchor_factors, next_assistant_reply, recent_turns, latest_state, merge_hits,
     budget_prefix, jaccard_pairs, context_mode, media_types, attach_dedupe, verify_hashes, parse_transcript, import_json, sketch_search,
