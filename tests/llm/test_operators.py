@@ -154,6 +154,12 @@ def test_chat_trees(spark):
     assert chat.format_conversations(deep).first()["n_turns"] == 37
 
 
+def test_chat_cycles_are_refused(spark):
+    rows = [("c", "1", "3", "user", "a", 0.0), ("c", "2", "1", "user", "b", 0.0), ("c", "3", "2", "user", "c", 0.0), ("c", "4", None, "user", "d", 0.0), ("c", "5", "3", "user", "e", 0.0)]
+    with pytest.raises(ValueError, match="cycle"):
+        chat.format_conversations(spark.createDataFrame(rows, "conv string, node string, parent string, role string, text string, score double"))
+
+
 def test_flat_tokens(spark):
     rows = list(enumerate(texts(40, 3))) + [(50, None), (50, "")]
     flat = flat_tokens.write_flat(spark.createDataFrame(rows, "doc_id long, text string"), block_ids=97)

@@ -44,7 +44,7 @@ def unescape(c: Column) -> Column:
 def reply_paths(messages: DataFrame) -> DataFrame:
     """(leaf, node, depth) for every message on the path from its root to every leaf.
 
-    `messages` has node, parent (null for a root) and is a forest; ids are unique.
+    `messages` has node, parent (null for a root) and is a forest; ids are unique. Replies in a cycle raise ValueError.
     """
     m = messages.select("node", "parent")
     known = m.select(F.col("node").alias("_p"))
@@ -52,7 +52,10 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     leaves = m.join(m.select(F.col("parent").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
     jump = materialize(jump.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "jump")
     levels = [jump]  # levels[k].up: the ancestor 2**k above
-    while not levels[-1].filter("up is not null").isEmpty():
+    most = jump.count().bit_length()  # no path of a forest is longer than all its messages
+    while (first := levels[-1].filter("up is not null").first()) is not None:
+        if len(levels) > most:
+            raise ValueError(f"message {first['node']} is in a cycle of replies or below one")
         a = levels[-1]
         b = a.select(F.col("node").alias("up"), F.col("up").alias("_up2"), F.col("depth").alias("_d"))
         # Only messages that still have an ancestor join; the others keep their depth.
