@@ -7,8 +7,9 @@ score so far, and only survivors get exact products. Query blocks meet candidate
 no task holds more than one block of each side.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of another
-length than the query's are no candidates of it; rows that repeat an id count once, with the least vector;
-products beyond a long are clipped to it; an empty table gives an empty result; other columns are ignored.
+length than the query's are no candidates of it; rows that repeat an id are candidates of their own, and queries
+that repeat an id share one list, the k best of all their products; products beyond a long are clipped to it; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def blocks_of(vectors: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
 
 def top_products(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) by the integer inner product of floor(256 x)."""
-    rows = materialize(usable(vectors, id_col, vec_col, nonzero=False), "vectors")
+    rows = materialize(usable(vectors, id_col, vec_col, nonzero=False, distinct=False), "vectors")
     queries, blocks = blocks_of(rows, every)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,4 +107,4 @@ def top_products(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id",
                     a, b, c = (np.concatenate(z) for z in zip(*out))
                     yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
-    return merge_best(grid(queries, blocks).mapInPandas(run, HITS), k)
+    return merge_best(grid(queries, blocks).mapInPandas(run, HITS), k, distinct=False)

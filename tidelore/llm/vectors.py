@@ -12,14 +12,15 @@ BLOCK_ROWS = 2048
 PACKED = "ids binary, data binary, dim int"
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """(vec_id, v): rows with an id and only finite components, doubles; of rows that repeat an id the least vector."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool, distinct: bool = True) -> DataFrame:
+    """(vec_id, v): rows with an id and only finite components, doubles; if `distinct`, of rows that repeat an id the least vector."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad
     if nonzero:
         ok &= F.exists(v, lambda x: x != 0)
-    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.filter(ok).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")) if distinct else rows
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -55,13 +56,13 @@ def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
 
 
-def merge_best(hits: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best distinct vec_id of each query, ties to the smaller id.
+def merge_best(hits: DataFrame, k: int, distinct: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best hits of each query, ties to the smaller id; if `distinct`, a vec_id counts once.
 
     Sorts per query what blocks have kept, k rows each.
     """
     from pyspark.sql import Window as W
 
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if distinct else hits
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
