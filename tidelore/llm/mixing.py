@@ -152,11 +152,16 @@ def mix(
 
 def apply_mix(docs: DataFrame, seed: str = "mix", **kw: object) -> DataFrame:
     """The documents as the mix takes them, with the columns of `docs`: each row as often as whole copies are
-    taken, and once more with the probability of the rest (a seeded draw), so a source's words keep near its
-    target without cutting a document. Rows are told apart by id and size; a null id joins null ids."""
-    m = mix(docs, seed=seed, **kw).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
-    sized = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    part = F.try_divide(F.pmod(F.col("taken"), F.col("_n")), F.col("_n"))
-    copies = F.floor(F.try_divide(F.col("taken"), F.col("_n"))) + F.when(seeded(seed + "/rest", F.col("doc_id")) / F.lit(2.0**32) < part, 1).otherwise(0)
-    joined = sized.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    return joined.withColumn("_c", F.coalesce(copies, F.lit(0)).cast("int")).filter("_c > 0").withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_c")))).select(*docs.columns)
+    taken, and once more with the probability of the rest (a draw seeded by id and text), so a source's words keep
+    near its target without cutting a document. Rows are told apart by id, source and size; those alike in all three
+    (null counts as a value) take the mean of their words each. An empty table gives an empty result."""
+    alike = mix(docs, seed=seed, **kw).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("words"))
+    m = alike.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "words")
+    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    draw = seeded(seed + "/rest", F.col("doc_id"), F.xxhash64("text")) / F.lit(2.0**32)
+    # Whole rows travel as one column, so no column of `docs` can clash with the ones made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), n.alias("n"), draw.alias("draw"))
+    joined = rows.join(m, F.col("id").eqNullSafe(F.col("m_id")) & F.col("src").eqNullSafe(F.col("m_source")) & (F.col("n") == F.col("m_size")))
+    whole = F.floor(F.try_divide(F.col("words"), F.col("n")))
+    copies = F.coalesce(whole + F.when(F.col("draw") < F.try_divide(F.col("words"), F.col("n")) - whole, 1).otherwise(0), F.lit(0)).cast("int")
+    return joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
