@@ -109,9 +109,13 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
 
 
 def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:
-    """The best `limit` hits of each query: one per hit, then one per text, by score with entries first on ties."""
+    """The best `limit` hits of each query: one per hit, then one per text, by score with entries first on ties.
+
+    Of one hit's rows with equal scores the earliest stays, as in a plain loop over them in order.
+    """
     order = [F.desc("score"), F.when(F.col("hit_type") == "entry", 0).otherwise(1), F.desc(F.coalesce("source_turn_id", F.lit(0))), F.desc("hit_id")]
-    one = hits.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "hit_type", "hit_id").orderBy(F.desc("score")))).filter("_n = 1")
+    first = [F.desc("score"), F.asc_nulls_last("source_turn_id"), F.asc("content")]
+    one = hits.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "hit_type", "hit_id").orderBy(*first))).filter("_n = 1")
     text = F.lower(normalize_text(F.col("content")))
     one = one.withColumn("_n", F.row_number().over(W.partitionBy("query_id", text).orderBy(*order))).filter("_n = 1").drop("_n")
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit)
