@@ -1,6 +1,9 @@
 """Merging of hits on small frames."""
 
-from tidelore.operators.search import merge_hits
+import random
+
+from tidelore.functions.features import postings
+from tidelore.operators.search import merge_hits, near_pairs
 
 HITS = "query_id long, hit_type string, hit_id long, kind string, content string, source_turn_id long, score double"
 
@@ -10,3 +13,29 @@ def test_merge_keeps_the_earliest_of_equal_scores(spark):
     for parts in (1, 7):
         got = merge_hits(spark.createDataFrame(rows, HITS).repartition(parts, "source_turn_id"), 8).collect()
         assert [(h["hit_id"], h["source_turn_id"], h["rank"]) for h in got] == [(5, 1, 1)]
+
+
+def _near(sets, least):
+    sim = lambda a, b: len(a & b) / len(a | b)
+    return {(i, k): round(sim(sets[i], sets[k]), 9) for i in sets for k in sets if i < k and sim(sets[i], sets[k]) >= least}
+
+
+def test_near_pairs_are_all_pairs(spark):
+    rng = random.Random(3)
+    sets = {0: set()}
+    for k in range(1, 160):
+        near = set(sets[rng.randrange(k)]) if rng.random() < 0.6 else {f"term{rng.randint(0, 99)}" for _ in range(rng.randint(1, 40))}
+        sets[k] = near if rng.random() < 0.3 else {t for t in near if rng.random() > 0.05} | {f"term{rng.randint(0, 99)}" for _ in range(rng.randint(0, 2))}
+    docs = spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in sets.items()], "id long, text string")
+    held = {k: s for k, s in sets.items() if s}
+    for least in (0.8, 0.45):
+        got = near_pairs(docs, "id", "text", least=least).collect()
+        assert len(got) == len({(r["a"], r["b"]) for r in got})
+        assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == _near(held, least)
+
+
+def test_terms_are_ranked_without_exchanging_them(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "beta gamma"), (2, "alpha")], "id long, text string")
+    got = postings(docs, ["id"], "text", 9)
+    assert sorted((r["id"], r["term"], r["weight"]) for r in got.collect()) == [(1, "alpha", 5.8), (1, "beta", 11.6), (1, "gamma", 5.8), (2, "alpha", 5.8)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1

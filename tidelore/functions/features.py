@@ -68,8 +68,11 @@ def top_terms(weighted: DataFrame, keys: list[str], max_terms: int) -> DataFrame
 
 
 def postings(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> DataFrame:
-    """(keys, term, weight, rank): the `max_terms` heaviest features of each normalised text."""
-    found = docs.select(*keys, F.explode(feature_rows(F.col(text))).alias("f")).groupBy(*keys, F.col("f.term").alias("term"))
+    """(keys, term, weight, rank): the `max_terms` heaviest features of each normalised text.
+
+    Texts are dealt by their keys once; counting and ranking of their terms then need no exchange of term rows.
+    """
+    found = docs.select(*keys, text).repartition(*keys).select(*keys, F.explode(feature_rows(F.col(text))).alias("f")).groupBy(*keys, F.col("f.term").alias("term"))
     return top_terms(found.agg((F.sum("f.tenths") / 10).alias("weight")), keys, max_terms)
 
 
