@@ -3,7 +3,7 @@
 import random
 
 from tidelore.functions.features import postings
-from tidelore.operators.search import merge_hits, near_pairs
+from tidelore.operators.search import coverage, merge_hits, near_pairs
 
 HITS = "query_id long, hit_type string, hit_id long, kind string, content string, source_turn_id long, score double"
 
@@ -39,3 +39,13 @@ def test_terms_are_ranked_without_exchanging_them(spark):
     got = postings(docs, ["id"], "text", 9)
     assert sorted((r["id"], r["term"], r["weight"]) for r in got.collect()) == [(1, "alpha", 5.8), (1, "beta", 11.6), (1, "gamma", 5.8), (2, "alpha", 5.8)]
     assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_coverage_is_summed_where_documents_are_read(spark):
+    rng = random.Random(4)
+    posted = spark.createDataFrame([(kind, k, rng.sample([f"t{i}" for i in range(150)], rng.randint(0, 120))) for kind in ("turn", "attachment") for k in range(1100)], "hit_type string, hit_id long, terms array<string>").repartition(1)
+    terms = spark.createDataFrame([(q, f"t{i}", float(i), i + 0.5) for q in range(3) for i in rng.sample(range(160), 30)], "query_id int, term string, weight double, idf_weight double")
+    for kind in ("turn", "attachment", "entry"):
+        one, other = ({(r["query_id"], r["hit_id"]): (round(r["exact"], 6), round(r["coarse"], 6)) for r in coverage(terms, posted, kind, small).collect()} for small in (True, False))
+        assert one == other and bool(one) == (kind != "entry")
+    assert "Exchange" not in coverage(terms, posted.coalesce(1).cache(), "turn", True)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]

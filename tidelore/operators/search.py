@@ -7,7 +7,11 @@ document's coarse score uses its few heaviest terms (what its sketch holds), its
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..durable import stored
@@ -20,13 +24,16 @@ from .excerpt import excerpts
 COARSE = {"turn": 64, "entry": 48, "attachment": 96}
 EXACT = {"turn": 128, "entry": 96, "attachment": 128}
 BROADCAST_ROWS = 200_000
+#: Documents and pairs of query and document that one sum holds at once.
+DOCS_AT_ONCE, CELLS_AT_ONCE = 512, 4 << 20
+_COVERED = "query_id {}, hit_id long, exact double, coarse double"
 EXCERPT_CHARS = {"turn": 820, "attachment": 800}
 
 
 def all_postings(turns: DataFrame, entries: DataFrame, attachments: DataFrame) -> DataFrame:
-    """(hit_type, hit_id, term, rank) over the three tables (hit_id, text)."""
-    parts = [postings(t.select("hit_id", "text"), ["hit_id"], "text", EXACT[kind]).withColumn("hit_type", F.lit(kind)) for kind, t in (("turn", turns), ("entry", entries), ("attachment", attachments))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("hit_type", "hit_id", "term", "rank")
+    """(hit_type, hit_id, terms) over the three tables (hit_id, text): each one's terms by rank, in one row."""
+    parts = [postings(t.select("hit_id", "text"), ["hit_id"], "text", EXACT[kind]).groupBy("hit_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("o")).select(F.lit(kind).alias("hit_type"), "hit_id", F.transform("o", lambda x: x["term"]).alias("terms")) for kind, t in (("turn", turns), ("entry", entries), ("attachment", attachments))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _coarse() -> Column:
@@ -39,11 +46,44 @@ def idf_query_terms(base: DataFrame, posted: DataFrame, n_docs: int) -> DataFram
     return base.join(df, "term").withColumn("idf_weight", F.col("weight") * (1 + F.greatest(F.lit(0.0), (F.lit(n_docs) - F.col("df")) / F.lit(max(1, n_docs)))))
 
 
-def coverage(terms: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, hit_type, hit_id, coarse, exact): shares of the query's weight that the document's terms have."""
-    own = F.when(F.col("hit_type") == "attachment", F.col("weight")).otherwise(F.col("idf_weight"))
-    met = terms.join(posted, "term").withColumn("w", own).withColumn("in_sketch", _coarse())
-    return met.groupBy("query_id", "hit_type", "hit_id").agg(F.sum("w").alias("exact"), F.sum(F.when(F.col("in_sketch"), F.col("w")).otherwise(0.0)).alias("coarse"))
+def coverage(terms: DataFrame, posted: DataFrame, kind: str, small: bool) -> DataFrame:
+    """(query_id, hit_type, hit_id, coarse, exact): the query's weight that the terms of each document of a kind have, where
+    coarse is above 0. If the query side is small, each document's sums are made where its row is read."""
+    own = "weight" if kind == "attachment" else "idf_weight"
+    docs = posted.filter(F.col("hit_type") == kind).select("hit_id", "terms")
+    if not small:
+        met = terms.join(docs.select("hit_id", F.posexplode("terms").alias("_p", "term")), "term")
+        sums = met.groupBy("query_id", "hit_id").agg(F.sum(own).alias("exact"), F.sum(F.when(F.col("_p") < COARSE[kind], F.col(own)).otherwise(0.0)).alias("coarse"))
+        return sums.filter("coarse > 0").withColumn("hit_type", F.lit(kind))
+    rows = terms.select("query_id", "term", own).orderBy("term", "query_id").toArrow()  # at most BROADCAST_ROWS
+    if not rows.num_rows:
+        return terms.sparkSession.createDataFrame([], _COVERED.format(terms.schema["query_id"].dataType.simpleString())).withColumn("hit_type", F.lit(kind))
+    dealt = rows["query_id"].combine_chunks().dictionary_encode()
+    names, ids, at, weight = pc.unique(rows["term"]), dealt.dictionary, dealt.indices.to_numpy(), rows[own].to_numpy()
+    first = np.r_[0, np.cumsum(np.bincount(pc.index_in(rows["term"], names).to_numpy(), minlength=len(names)))]
+    limit, n_q = COARSE[kind], len(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch["terms"]), 0).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(pc.list_flatten(batch["terms"]), names), -1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            step = max(1, min(DOCS_AT_ONCE, CELLS_AT_ONCE // n_q))
+            for a in range(0, len(size), step):
+                n, lo = len(size[a : a + step]), ends[a] - size[a]
+                mine = code[lo : ends[min(a + step, len(size)) - 1]]
+                doc = np.repeat(np.arange(n), size[a : a + step])
+                rank = np.arange(len(mine)) - (ends - size)[a : a + step][doc] + lo
+                doc, rank, mine = doc[mine >= 0], rank[mine >= 0], mine[mine >= 0]
+                per = first[mine + 1] - first[mine]
+                idx = np.repeat(first[mine], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                cell, w = np.repeat(doc, per) * n_q + at[idx], weight[idx]
+                exact = np.bincount(cell, w, n * n_q)
+                coarse = np.bincount(cell, np.where(np.repeat(rank, per) < limit, w, 0.0), n * n_q)
+                hit = np.flatnonzero(coarse > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit % n_q)), batch["hit_id"].take(pa.array(a + hit // n_q)), pa.array(exact[hit]), pa.array(coarse[hit])], names=["query_id", "hit_id", "exact", "coarse"])
+
+    return docs.mapInArrow(run, _COVERED.format(terms.schema["query_id"].dataType.simpleString())).withColumn("hit_type", F.lit(kind))
 
 
 def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachments: DataFrame, posted: DataFrame | None = None, limit: int = 8, shorten: bool = True) -> DataFrame:
@@ -60,21 +100,25 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
     e = entries.select(F.col("entry_id").alias("hit_id"), F.col("content").alias("text"))
     if posted is None:
         posted = stored(all_postings(t, e, at), "postings")
+    rows = posted.select("hit_type", "hit_id", F.posexplode("terms").alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
     base = stored(query_features(q, ["query_id"], "query"), "features")
     n_docs = turns.count() + entries.count() + attachments.count()
-    terms = stored(idf_query_terms(base, posted, n_docs), "terms")
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
+    terms = stored(idf_query_terms(base, rows, n_docs), "terms")
+    small = terms.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df
     totals = base.groupBy("query_id").agg(F.sum("weight").alias("plain")).join(terms.groupBy("query_id").agg(F.sum("idf_weight").alias("total")), "query_id")
     anchors = q.withColumn("anchors", strong_anchors(F.col("query"))).select("query_id", "anchors", any_cue(F.lower("query"), K.ANSWER_CUES).alias("asks"))
-    cov = coverage(terms, posted).join(totals, "query_id").join(anchors, "query_id")
-    share = lambda c: F.col(c) / F.when(F.col("hit_type") == "attachment", F.col("plain")).otherwise(F.col("total"))
-    cov = stored(cov.withColumn("coarse", share("coarse")).withColumn("exact", share("exact")).filter("coarse > 0").drop("plain", "total"), "coverage")
+    of_query = stored(totals.join(anchors, "query_id"), "queries")
+
+    def cov(kind: str) -> DataFrame:
+        total = F.col("plain" if kind == "attachment" else "total")
+        return coverage(terms, posted, kind, small).join(sent(of_query), "query_id").withColumn("coarse", F.col("coarse") / total).withColumn("exact", F.col("exact") / total).filter("coarse > 0").drop("plain", "total")
+
     out = ["query_id", "hit_type", "hit_id", "kind", "content", "source_turn_id", "score"]
     best = lambda d, n, *order: d.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= n)
 
     max_entry = entries.agg(F.coalesce(F.max("entry_id"), F.lit(1)).alias("max_entry"))
-    eh = cov.filter("hit_type = 'entry'").join(entries, F.col("hit_id") == F.col("entry_id")).crossJoin(F.broadcast(max_entry))  # one row
+    eh = cov("entry").join(entries, F.col("hit_id") == F.col("entry_id")).crossJoin(F.broadcast(max_entry))  # one row
     eh = eh.withColumn(
         "score",
         (0.18 * F.col("coarse") + 0.82 * F.col("exact"))
@@ -85,21 +129,25 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
     )
     eh = best(eh.filter("score > 0"), max(3 * limit, 18), F.desc("score"), F.desc(F.coalesce("source_turn_id", F.lit(0))), F.desc("hit_id")).select(*out)
 
-    ah = cov.filter("hit_type = 'attachment'").join(at.withColumnRenamed("text", "content"), "hit_id").withColumn("score", 0.25 * F.col("coarse") + 0.75 * F.col("exact"))
+    # The best ids first, then their texts, then the best rows where ids repeat.
+    ah = cov("attachment").withColumn("score", 0.25 * F.col("coarse") + 0.75 * F.col("exact"))
+    ah = stored(best(ah, max(limit, 5), F.desc("score"), F.desc("hit_id")).select("query_id", "hit_type", "hit_id", "score"), "attachments")
+    ah = sent(ah).join(at.withColumnRenamed("text", "content"), "hit_id")
     ah = best(ah, max(limit, 5), F.desc("score"), F.desc("hit_id")).select(*out)
 
     max_turn = turns.agg(F.coalesce(F.max("turn_id"), F.lit(1)).alias("max_turn"))
     width = max(3 * limit, 18)
-    th = cov.filter("hit_type = 'turn'").crossJoin(F.broadcast(max_turn)).withColumn("coarse", F.col("coarse") * (1 + 0.04 * F.col("hit_id") / F.col("max_turn")))  # one row
+    th = cov("turn").crossJoin(F.broadcast(max_turn)).withColumn("coarse", F.col("coarse") * (1 + 0.04 * F.col("hit_id") / F.col("max_turn")))  # one row
     th = best(th, max(32, 8 * width), F.desc("coarse"), F.desc("hit_id")).drop("_r")
     reply = next_assistant(turns)
     th = th.join(turns.select(F.col("turn_id").alias("hit_id"), "role", "content"), "hit_id")
     th = th.withColumn("score", (0.12 * F.col("coarse") + 0.88 * F.col("exact")) * anchor_factor(F.col("anchors"), F.col("content")) * F.when(F.col("role") == "user", 1.05).otherwise(1.0))
-    own = th.filter("score > 0").withColumn("kind", F.upper("role")).withColumn("source_turn_id", F.col("hit_id"))
+    own = stored(th.filter("score > 0").withColumn("kind", F.upper("role")).withColumn("source_turn_id", F.col("hit_id")).select(*out, "role", "asks"), "turns")
     asked = own.filter("asks and role = 'user'").select("query_id", "hit_id", F.col("score").alias("asked_score")).join(reply, F.col("hit_id") == F.col("turn_id")).select("query_id", "asked_score", F.col("reply_id").alias("hit_id"))
+    asked = stored(asked, "asked")
     answers = (
         asked.join(turns.select(F.col("turn_id").alias("hit_id"), "content"), "hit_id")
-        .join(cov.filter("hit_type = 'turn'").select("query_id", "hit_id", "exact"), ["query_id", "hit_id"], "left")
+        .join(cov("turn").select("query_id", "hit_id", "exact").join(sent(asked.select("query_id", "hit_id").distinct()), ["query_id", "hit_id"], "left_semi"), ["query_id", "hit_id"], "left")
         .select("query_id", F.lit("turn").alias("hit_type"), "hit_id", F.lit("ASSISTANT").alias("kind"), "content", F.col("hit_id").alias("source_turn_id"), F.greatest(F.col("asked_score") * 0.96, 0.88 * F.coalesce("exact", F.lit(0.0))).alias("score"))
     )
     turns_hit = best(own.select(*out).unionByName(answers.select(*out)), width, F.desc("score"), F.desc("hit_id")).select(*out)
