@@ -1,14 +1,19 @@
 """Weighted lexical features: a document's Latin tokens, CJK phrases and grams.
 
-`feature_rows` is a map from text to an array, so postings of many documents need no shuffle before the
-aggregate per (document, term). Weights are summed in tenths, as integers, so sums don't depend on order.
+`feature_rows` gives them as an expression, for short texts; `text_terms` counts the same features in Python workers, at
+a small part of the time, for whole tables. Weights are summed in tenths, as integers, so sums don't depend on order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import constants as K
@@ -62,6 +67,130 @@ def feature_rows(normalized: Column) -> Column:
     return F.concat(latin_features(normalized), F.when(normalized.rlike(CJK_LETTER), cjk_features(normalized)).otherwise(F.array().cast(TERM)))
 
 
+def distinct_features(normalized: Column) -> Column:
+    """The number of distinct terms among `feature_rows`."""
+    latin = F.regexp_extract_all(normalized, F.lit("([A-Za-z0-9_][A-Za-z0-9_./:+#@-]*[A-Za-z0-9_])"))
+    plain = F.size(F.array_except(F.split(F.lower(F.array_join(latin, " ")), " "), F.array(*[F.lit(x) for x in ["", *K.ENGLISH_STOP]])))
+    return F.when(normalized.rlike(CJK_LETTER), F.size(F.array_distinct(F.transform(feature_rows(normalized), lambda f: f["term"])))).otherwise(plain)
+
+
+_LATIN, _DIGIT, _RUN = re.compile(K.LATIN), re.compile("[0-9]"), re.compile(f"{CJK_LETTER}+")
+_ENGLISH, _CHINESE, _KEY, _EDGE = frozenset(K.ENGLISH_STOP), frozenset(K.CHINESE_STOP), frozenset(K.CHINESE_KEY), frozenset(K.CHINESE_EDGE)
+#: What Latin tokens of KNOWN_CHARS characters or fewer give, for at most KNOWN tokens a worker.
+KNOWN, KNOWN_CHARS = 1 << 17, 40
+_known: dict[str, tuple[str, int] | None] = {}
+#: Rows of one batch of term lists.
+LISTS_AT_ONCE = 512
+TERM_NAMES = ("term", "tenths")
+
+
+def _latin_term(raw: str) -> tuple[str, int] | None:
+    clean = raw.strip(K.LATIN_EDGE).lower()
+    if len(clean) < 2 or clean in _ENGLISH:
+        return None
+    marked = "." in raw or "_" in raw or raw.isupper() or _DIGIT.search(clean)
+    return clean, (K.LATIN_LONG if len(clean) >= 4 else K.LATIN_SHORT) + (K.LATIN_MARKED if marked else 0)
+
+
+def _cjk_terms(runs: list[str], out: dict[str, int]) -> None:
+    def add(t: str, tenths: int) -> None:
+        out[t] = out.get(t, 0) + tenths
+
+    many = [r for r in runs if len(r) > 1]
+    for r in runs:
+        if len(r) == 1 and r in _KEY:
+            add(r, K.CJK_SINGLE)
+        elif 1 < len(r) <= 8 and _EDGE.isdisjoint(r):
+            add(r, K.CJK_PHRASE)
+    for c, n in Counter("".join(many)).items():
+        if c in _KEY:
+            add(c, n * K.CJK_KEY)
+    for size, tenths in K.CJK_GRAMS.items():
+        grams = Counter(r[i : i + size] for r in many for i in range(len(r) - size + 1))
+        for g, n in grams.items():
+            if g[0] not in _EDGE and g[-1] not in _EDGE and g not in _CHINESE and sum(c not in _EDGE for c in g) >= max(1, size - 1):
+                add(g, n * tenths)
+
+
+def text_terms(normalized: str | None) -> dict[str, int]:
+    """The distinct features of a normalised text with their tenths, those of `feature_rows`."""
+    out: dict[str, int] = {}
+    if not normalized:
+        return out
+    for raw, n in Counter(_LATIN.findall(normalized)).items():
+        try:
+            found = _known[raw]
+        except KeyError:
+            found = _latin_term(raw)
+            if len(raw) <= KNOWN_CHARS:
+                if len(_known) >= KNOWN:
+                    _known.clear()
+                _known[raw] = found
+        if found:
+            out[found[0]] = out.get(found[0], 0) + n * found[1]
+    if not normalized.isascii() and (runs := _RUN.findall(normalized)):
+        _cjk_terms([r for r in runs if r not in _CHINESE], out)
+    return out
+
+
+def heaviest(terms: dict[str, int], most: int) -> list[tuple[str, int]]:
+    """(term, tenths) of the heaviest terms; of equal ones the longer first, then by code points."""
+    least = sorted(terms.values(), reverse=True)[most - 1] if len(terms) > most else 0
+    return [(t, -w) for w, _, t in sorted([(-w, -len(t), t) for t, w in terms.items() if w >= least])[:most]]
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def lists_array(lists: list[list[tuple[str, int]]]) -> pa.Array:
+    """array<struct<term, tenths>> of lists of terms."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat = [pa.array([t for x in lists for t, _ in x], pa.string()), pa.array([w for x in lists for _, w in x], pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, list(TERM_NAMES)))
+
+
+def term_lists(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> DataFrame:
+    """(keys, terms): the `max_terms` heaviest features of the normalised texts of each key, in order, where there are any.
+
+    Texts are dealt by their keys once and lie there by key; term rows are neither exchanged nor made.
+    """
+    rows = docs.select(*keys, F.col(text).alias("_text")).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, own, lists, key, have = [], [], [], None, {}
+
+        def taken() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in own], t) for i, t in enumerate(types)]
+            out = pa.RecordBatch.from_arrays([*columns, lists_array(lists)], names=[*keys, "terms"])
+            own.clear(), lists.clear()
+            return out
+
+        def close() -> None:
+            if have:
+                own.append(key)
+                lists.append(heaviest(have, max_terms))
+
+        for batch in batches:
+            types = [batch[c].type for c in keys]
+            for k, x in zip(zip(*[batch[c].to_pylist() for c in keys]), texts_of(batch["_text"])):
+                found = text_terms(x)
+                if k == key:
+                    for t, w in found.items():
+                        have[t] = have.get(t, 0) + w
+                else:
+                    close()
+                    key, have = k, found
+                if len(own) >= LISTS_AT_ONCE:
+                    yield taken()
+        close()
+        if own:
+            yield taken()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.mapInArrow(run, f"{fields}, terms {TERM}")
+
+
 def top_terms(weighted: DataFrame, keys: list[str], max_terms: int) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(F.desc("weight"), F.desc(F.length("term")), "term")
     return weighted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_terms)
@@ -72,8 +201,8 @@ def postings(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> Dat
 
     Texts are dealt by their keys once; counting and ranking of their terms then need no exchange of term rows.
     """
-    found = docs.select(*keys, text).repartition(*keys).select(*keys, F.explode(feature_rows(F.col(text))).alias("f")).groupBy(*keys, F.col("f.term").alias("term"))
-    return top_terms(found.agg((F.sum("f.tenths") / 10).alias("weight")), keys, max_terms)
+    rows = term_lists(docs, keys, text, max_terms).select(*keys, F.posexplode("terms").alias("_at", "_t"))
+    return rows.select(*keys, F.col("_t.term").alias("term"), (F.col("_t.tenths") / 10).alias("weight"), (F.col("_at") + 1).alias("rank"))
 
 
 def query_features(queries: DataFrame, keys: list[str], text: str, max_terms: int = 64) -> DataFrame:

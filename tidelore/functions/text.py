@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -61,11 +63,24 @@ def is_upper(c: Column) -> Column:
     return c.rlike("[A-Z]") & ~c.rlike("[a-z]")
 
 
+def _quoted(normalized: Column) -> Column:
+    spans = F.transform(F.regexp_extract_all(normalized, F.lit("[\"“‘']([^\"”’']{3,80})[\"”’']")), lambda q: F.lower(normalize_text(q)))
+    return F.filter(spans, lambda q: q != "")
+
+
 def strong_anchors(normalized: Column) -> Column:
     """Distinct explicit identifiers and quoted spans."""
     marked = F.filter(latin_tokens(normalized), lambda t: (t["clean"] != "") & ((F.length(t["clean"]) >= 5) | t["clean"].rlike("[0-9]") | t["raw"].rlike("[._]") | is_upper(t["raw"])))
-    quoted = F.transform(F.regexp_extract_all(normalized, F.lit("[\"“‘']([^\"”’']{3,80})[\"”’']")), lambda q: F.lower(normalize_text(q)))
-    return F.array_union(F.transform(marked, lambda t: t["clean"]), F.filter(quoted, lambda q: q != ""))
+    return F.array_union(F.transform(marked, lambda t: t["clean"]), _quoted(normalized))
+
+
+#: A Latin token of five characters or more, with a digit, `_` or `.`, or without small letters.
+_MARKED = r"[A-Za-z0-9_][A-Za-z0-9_./:+#@-]{3,}[A-Za-z0-9_]|[0-9_]|[A-Za-z][/:+#@-]*\.|(?<![A-Za-z0-9_./:+#@-])[./:+#@-]*+[A-Z][A-Z./:+#@-]*+(?![A-Za-z])"
+
+
+def has_anchor(normalized: Column) -> Column:
+    """Whether `strong_anchors` finds any, without listing them."""
+    return normalized.rlike(_MARKED) | (normalized.rlike("[\"“‘']") & (F.size(_quoted(normalized)) > 0))
 
 
 def anchor_ratio(anchors: Column, normalized: Column) -> Column:
@@ -89,9 +104,8 @@ def looked_up(key: Column, values: dict[str, float], default: float) -> Column:
 
 
 def any_cue(low: Column, cues: str) -> Column:
-    import re
-
-    return low.rlike("|".join(re.escape(c) for c in cues.split("|")))
+    """Whether the text contains one of the cues; looking for each costs less than one expression of alternatives."""
+    return reduce(operator.or_, [F.contains(low, F.lit(c)) for c in cues.split("|")])
 
 
 def media_type(mime: Column, filename: Column) -> Column:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
-from ..functions.features import feature_rows
+from ..functions.features import TERM, heaviest, lists_array, text_terms, texts_of
 from ..functions.numbering import numbered
 from ..functions.text import fingerprint, looked_up
 
@@ -27,11 +28,14 @@ EVENTS = "kind string, turn_id long, rank int, content string, confidence double
 
 def with_terms(atoms: DataFrame, max_terms: int = TERMS) -> DataFrame:
     """Adds `terms` (term, tenths), the heaviest features of the content, without a shuffle."""
-    rows = feature_rows(F.col("content"))
-    names = F.array_distinct(F.transform("_f", lambda f: f["term"]))
-    tenths = lambda t: F.aggregate(F.filter("_f", lambda f: f["term"] == t), F.lit(0).cast("long"), lambda s, f: s + f["tenths"])
-    ordered = F.array_sort(F.transform(names, lambda t: F.struct((-tenths(t)).alias("w"), (-F.length(t)).alias("l"), t.alias("t"))))
-    return atoms.withColumn("_f", rows).withColumn("terms", F.transform(F.slice(ordered, 1, max_terms), lambda s: F.struct(s["t"].alias("term"), (-s["w"]).alias("tenths")))).drop("_f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = lists_array([heaviest(text_terms(x), max_terms) for x in texts_of(batch["content"])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, terms], names=[*batch.schema.names, "terms"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in atoms.schema)
+    return atoms.mapInArrow(run, f"{fields}, terms {TERM}")
 
 
 class _Active:

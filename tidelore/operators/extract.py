@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as K
-from ..functions.features import feature_rows
-from ..functions.text import any_cue, looked_up, sentences, strip, strong_anchors
+from ..functions.features import distinct_features
+from ..functions.text import any_cue, has_anchor, looked_up, sentences, strip
 
 
 def _first_cue(low: Column, rules: list[tuple[str, float, str]], case: Column | None = None) -> Column:
@@ -37,22 +37,22 @@ def has_number(s: Column) -> Column:
 
 
 def fact_confidence(s: Column, role: Column) -> Column:
-    """Confidence of a factual sentence, else null."""
-    low = F.lower(s)
-    anchored, number = F.size(strong_anchors(s)) > 0, has_number(s)
-    terms = F.size(F.array_distinct(F.transform(feature_rows(s), lambda f: f["term"])))
-    stated = (anchored & any_cue(low, K.DEFINITION_CUES)) | (number & any_cue(low, K.UNIT_CUES))
-    open_to = ~is_question(s) & ~s.rlike(r"^\[(Image|PDF)") & (terms >= 3)
-    return F.when(open_to & (role == "user") & (anchored | number) & (F.length(s) >= 18), 0.70).when(open_to & (role != "user") & stated & F.length(s).between(20, 420), 0.67)
+    """Confidence of a factual sentence, else null. What costs least is tested first."""
+    low, size = F.lower(s), F.length(s)
+    anchored, number = has_anchor(s), has_number(s)
+    user = (role == "user") & (size >= 18) & (anchored | number)
+    other = (role != "user") & size.between(20, 420) & ((any_cue(low, K.DEFINITION_CUES) & anchored) | (any_cue(low, K.UNIT_CUES) & number))
+    return F.when((user | other) & ~s.rlike(r"^\[(Image|PDF)") & ~is_question(s) & (distinct_features(s) >= 3), F.when(role == "user", 0.70).otherwise(0.67))
 
 
 def sentence_atoms(turns: DataFrame, keys: list[str], text: str = "content", role: str = "role") -> DataFrame:
     """(keys, role, pos, content, kind, confidence) of every sentence that some rule takes."""
     s = turns.select(*keys, F.col(role).alias("role"), F.posexplode(sentences(F.col(text))).alias("pos", "content")).filter(F.length("content") <= 700)
-    user = F.col("role") == "user"
-    s = s.withColumn("c", F.when(user, classify_user(F.col("content"))).otherwise(classify_other(F.col("content"))))
-    s = s.withColumn("f", fact_confidence(F.col("content"), F.col("role")))
-    s = s.withColumn("kind", F.coalesce("c.kind", F.when(F.col("f").isNotNull(), "FACT"))).withColumn("raw", F.coalesce("c.confidence", "f")).filter("kind is not null")
+    user, text = F.col("role") == "user", F.col("content")
+    fact = F.transform(F.array(fact_confidence(text, F.col("role"))), lambda f: F.when(f.isNotNull(), F.struct(F.lit("FACT").alias("kind"), f.alias("confidence"))))[0]
+    # The rules are tested once: a filter on their result isn't moved below a generator, as it is below a projection.
+    ruled = F.coalesce(F.when(user, classify_user(text)).otherwise(classify_other(text)), fact)
+    s = s.select("*", F.explode(F.array(ruled)).alias("c")).filter("c is not null").select(*keys, "role", "pos", "content", "c.kind", F.col("c.confidence").alias("raw"))
     conf = F.when(user, F.least(F.lit(0.99), F.col("raw") + 0.03)).when(F.col("role") == "assistant", F.greatest(F.lit(0.1), F.col("raw") - 0.08)).otherwise(F.col("raw"))
     return s.select(*keys, "role", "pos", "content", "kind", F.round(conf, 4).alias("confidence"))
 
@@ -60,7 +60,8 @@ def sentence_atoms(turns: DataFrame, keys: list[str], text: str = "content", rol
 def atoms(turns: DataFrame, keys: list[str], text: str = "content", role: str = "role") -> DataFrame:
     """The best atoms of each turn: distinct by kind and lower-cased content, 8 of a user's and 2 of others'; `rank` from 1."""
     order = [F.desc("priority"), F.desc("confidence"), F.length("content"), F.col("pos")]
-    s = sentence_atoms(turns, keys, text, role).withColumn("priority", looked_up(F.col("kind"), K.KIND_PRIORITY, 0))
+    # Dealt once, by turn; both rankings are made there.
+    s = sentence_atoms(turns, keys, text, role).repartition(*keys).withColumn("priority", looked_up(F.col("kind"), K.KIND_PRIORITY, 0))
     s = s.withColumn("copy", F.row_number().over(W.partitionBy(*keys, "kind", F.lower("content")).orderBy(*order))).filter("copy = 1")
     s = s.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return s.filter(F.col("rank") <= F.when(F.col("role") == "user", 8).otherwise(2)).select(*keys, "role", "rank", "kind", "content", "confidence")
