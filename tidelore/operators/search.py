@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..durable import stored
 from ..functions import constants as K
-from ..functions.features import postings, query_features
+from ..functions.features import postings, query_features, term_lists
 from ..functions.text import anchor_factor, any_cue, jaccard, looked_up, normalize_text, strong_anchors, with_normalized
 from .excerpt import excerpts
 
@@ -32,7 +32,7 @@ EXCERPT_CHARS = {"turn": 820, "attachment": 800}
 
 def all_postings(turns: DataFrame, entries: DataFrame, attachments: DataFrame) -> DataFrame:
     """(hit_type, hit_id, terms) over the three tables (hit_id, text): each one's terms by rank, in one row."""
-    parts = [postings(t.select("hit_id", "text"), ["hit_id"], "text", EXACT[kind]).groupBy("hit_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("o")).select(F.lit(kind).alias("hit_type"), "hit_id", F.transform("o", lambda x: x["term"]).alias("terms")) for kind, t in (("turn", turns), ("entry", entries), ("attachment", attachments))]
+    parts = [term_lists(t.select("hit_id", "text"), ["hit_id"], "text", EXACT[kind]).select(F.lit(kind).alias("hit_type"), "hit_id", F.transform("terms", lambda x: x["term"]).alias("terms")) for kind, t in (("turn", turns), ("entry", entries), ("attachment", attachments))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -86,8 +86,8 @@ def coverage(terms: DataFrame, posted: DataFrame, kind: str, small: bool) -> Dat
     return docs.mapInArrow(run, _COVERED.format(terms.schema["query_id"].dataType.simpleString())).withColumn("hit_type", F.lit(kind))
 
 
-def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachments: DataFrame, posted: DataFrame | None = None, limit: int = 8, shorten: bool = True) -> DataFrame:
-    """All hits before merging: query_id, hit_type, hit_id, kind, content, source_turn_id, score. Queries are folded by
+def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachments: DataFrame, posted: DataFrame | None = None, limit: int = 8, shorten: bool = True, kinds: tuple[str, ...] = ("entry", "attachment", "turn")) -> DataFrame:
+    """All hits before merging, of `kinds` (terms are weighed over all tables all the same): query_id, hit_type, hit_id, kind, content, source_turn_id, score. Queries are folded by
     NFKC like stored turns. Contents of turns and attachments are excerpts, or whole texts if `shorten` is false.
 
     queries (query_id, query); turns (turn_id, session_id, seq, role, content); entries (entry_id, kind, content, authority,
@@ -95,7 +95,8 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
     source_turn_id).
     """
     q = with_normalized(queries.select("query_id", F.col("query").alias("_raw")), "_raw", "query").select("query_id", "query")
-    at = attachments.select(F.col("attachment_id").alias("hit_id"), F.concat_ws(" ", "filename", "mime_type", "media_type", "sidecar_text").alias("text"), F.upper("media_type").alias("kind"), "source_turn_id")
+    attached = lambda d: d.select(F.col("attachment_id").alias("hit_id"), F.concat_ws(" ", "filename", "mime_type", "media_type", "sidecar_text").alias("text"), F.upper("media_type").alias("kind"), "source_turn_id")
+    at = attached(attachments)
     t = turns.select(F.col("turn_id").alias("hit_id"), F.col("content").alias("text"))
     e = entries.select(F.col("entry_id").alias("hit_id"), F.col("content").alias("text"))
     if posted is None:
@@ -128,6 +129,8 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
         * (1 + 0.04 * F.col("entry_id") / F.col("max_entry")),
     )
     eh = best(eh.filter("score > 0"), max(3 * limit, 18), F.desc("score"), F.desc(F.coalesce("source_turn_id", F.lit(0))), F.desc("hit_id")).select(*out)
+    if kinds == ("entry",):
+        return eh
 
     # The best ids first, then their texts, then the best rows where ids repeat.
     ah = cov("attachment").withColumn("score", 0.25 * F.col("coarse") + 0.75 * F.col("exact"))
@@ -155,7 +158,7 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
     if shorten:
         found = stored(found.withColumn("_room", F.element_at(F.create_map(*[F.lit(x) for kv in EXCERPT_CHARS.items() for x in kv]), F.col("hit_type"))), "found")
         found = excerpts(found, ["query_id", "hit_type", "hit_id"], q, "_room").withColumn("content", F.col("excerpt")).select(*out)
-    return eh.unionByName(found)
+    return eh.unionByName(found).filter(F.col("hit_type").isin(*kinds))
 
 
 def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:

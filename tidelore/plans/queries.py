@@ -165,8 +165,8 @@ def idf_query(spark, sf):
 def _search(spark, sf, kind: str):
     turns, entries = _entries(spark, sf)
     q = spark.createDataFrame([(0, QUERY), (1, "next step what decided")], "query_id int, query string")
-    hits = search.score_hits(q, turns, entries.filter("status = 'active'"), _attachments(spark, sf), limit=8, shorten=False)
-    return hits.filter(F.col("hit_type") == kind).select("query_id", "hit_id", F.round("score", 9).alias("score"))
+    hits = search.score_hits(q, turns, entries.filter("status = 'active'"), _attachments(spark, sf), limit=8, shorten=False, kinds=(kind,))
+    return hits.select("query_id", "hit_id", F.round("score", 9).alias("score"))
 
 
 def search_exact_turns(spark, sf):
