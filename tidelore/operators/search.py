@@ -135,7 +135,9 @@ def score_hits(queries: DataFrame, turns: DataFrame, entries: DataFrame, attachm
     # The best ids first, then their texts, then the best rows where ids repeat.
     ah = cov("attachment").withColumn("score", 0.25 * F.col("coarse") + 0.75 * F.col("exact"))
     ah = stored(best(ah, max(limit, 5), F.desc("score"), F.desc("hit_id")).select("query_id", "hit_type", "hit_id", "score"), "attachments")
-    ah = sent(ah).join(at.withColumnRenamed("text", "content"), "hit_id")
+    # Only texts that are found are made again.
+    ids = sent(ah.select(F.col("hit_id").alias("attachment_id")).distinct())
+    ah = sent(ah).join(attached(attachments.join(ids, "attachment_id", "left_semi")).withColumnRenamed("text", "content"), "hit_id")
     ah = best(ah, max(limit, 5), F.desc("score"), F.desc("hit_id")).select(*out)
 
     max_turn = turns.agg(F.coalesce(F.max("turn_id"), F.lit(1)).alias("max_turn"))
