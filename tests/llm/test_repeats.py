@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidelore.llm.repeats import remove_repeats
+from tidelore.llm.repeats import Bucket, Segments, anchors, gram_bytes, grams, remove_repeats
 from tidelore.llm.suffixes import suffix_order
 
 
@@ -66,3 +67,45 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(len(s)))
         heads = [b[i : i + 32] for i in order]
         assert heads == sorted(heads)
+
+
+def test_short_common_words_are_no_anchor():
+    """Texts that have only words of 20 bytes in common share no anchor, so none of their segments travels."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=20)) for _ in range(12)]
+    one, two = (np.frombuffer("".join(w + "".join(rng.choices(abc, k=6)) for w in rng.choices(words, k=2000)).encode(), np.uint8) for abc in ("ijklm", "nopqr"))
+    assert not np.intersect1d(anchors(one, 50), anchors(two, 50)).size
+
+
+def bucket_of(texts, size):
+    return Bucket(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64())}), size)
+
+
+@pytest.mark.parametrize("size", [16, 50, 200])
+def test_cores_are_those_of_each_start(size):
+    """Runs are cut where the least gram of their strings moves or lies on the other side of half a window."""
+    texts = [t for i, t in rows_for(9) if t and i is not None]
+    b = bucket_of(texts, size)
+    cores, gram = b.cores(np.arange(len(b.start)), size), gram_bytes(size)
+    h, window = grams(b.data, gram), size - gram + 1
+    keys = {}
+    assert cores.start.tolist() == sorted(cores.start.tolist()) and (cores.stop - cores.start).sum() == (b.stop - b.start).sum()
+    for a, e, key in zip(cores.start.tolist(), cores.stop.tolist(), cores.key.tolist()):
+        at = [s + int(h[s : s + window].argmin()) for s in range(a, e)]
+        far = {p - s >= window // 2 for p, s in zip(at, range(a, e))}
+        assert len(set(at)) == len(far) == 1
+        c, n = (at[0] - window // 2, window // 2 + gram) if far == {True} else (at[0], size - window // 2 + 1)
+        assert e - 1 <= c and c + n <= a + size  # every string of the stretch holds the core
+        assert keys.setdefault((far == {True}, b.data[c : c + n].tobytes()), key) == key
+
+
+def test_places_of_segments_are_packed():
+    """The marking stage gets them back instead of looking for anchors again."""
+    s = Segments(np.array([0, 7, 5_000_000, 3, 90]), np.array([0, 1, 1, 2, 0]), np.array([64, 1, 17]), np.array([70_000, 0, 70_000]))
+    back = Segments.unpacked(s.packed())
+    assert all(np.array_equal(getattr(s, c), getattr(back, c)) for c in ("begin", "seg", "starts", "rng"))
+    assert [(r, own.tolist()) for r, own in back.by_range()] == [(0, [1]), (70_000, [0, 2])]
+    assert back.least(np.array([9, 4, 2, 8, 5])).tolist() == [5, 2, 8]
+    empty = Segments.unpacked(Segments(*[np.zeros(0, np.int64)] * 4).packed())
+    assert list(empty.by_range()) == [] and len(empty.begin) == 0
+    assert Bucket(pa.table({"doc_id": [1], "text": ["x" * 60], "n_bytes": [60]}), 50, runs=False).data.size == 60

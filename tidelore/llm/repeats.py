@@ -5,7 +5,7 @@ A byte goes if a string of `size` bytes that covers it also starts in a document
 Plan. Copies leave first: where a task sees a text of at least `size` bytes again with a larger id, that row goes
 whole, and only its length travels on. The other documents are dealt by their text to buckets of a few MB, so each
 bucket settles the copies that different tasks saw.
-1. Each start of a `size`-byte string gets an anchor: the least hash of the 16-byte grams inside the
+1. Each start of a `size`-byte string gets an anchor: the least hash of the grams (24 bytes, in short strings 16) inside the
    string. Equal strings have equal anchors, and neighbouring starts mostly share one, so an anchor
    stands for a short segment of text. Buckets exchange their distinct anchors (exchange.py).
 2. Segments whose anchor occurs in two documents or more go, once per bucket and with the smallest id of
@@ -16,7 +16,8 @@ bucket settles the copies that different tasks saw.
    edges of what is everywhere, are cut into single strings and dealt by content.
 3. A range sorts the suffixes of its distinct segments in two stages (suffixes.py); equal strings are
    neighbours, and each start learns the smallest id that has its string.
-4. Every bucket marks the bytes of its documents. Only step 3's answers travel back.
+4. Every bucket marks the bytes of its documents. Step 3's answers travel back, and with them, packed, where
+   step 2 found the bucket's segments, so that it does not look for them again.
 
 Anchors only propose; strings are compared byte by byte in step 3.
 
@@ -41,7 +42,8 @@ from .common import buckets_for, mix64, text_buffer, text_bytes
 from .suffixes import smallest_owner
 
 SIZE = 50
-GRAM = 16
+#: Bytes of a gram; strings of LONG_SIZE bytes or more have long ones, which fewer texts share by chance.
+GRAM, LONG_GRAM, LONG_SIZE = 16, 24, 48
 #: Longest run of starts in a segment, and the text that one suffix array holds.
 RUN = 64
 ARRAY_BYTES = 2 << 20
@@ -57,12 +59,18 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The mixed hash of each 16-byte gram."""
+def gram_bytes(size: int) -> int:
+    return LONG_GRAM if size >= LONG_SIZE else GRAM
+
+
+def grams(data: np.ndarray, length: int) -> np.ndarray:
+    """The mixed hash of each gram of `length` bytes, GRAM or LONG_GRAM."""
     h = _BYTE[data]
     for k, mul in enumerate(_MUL):
-        step = 1 << k
+        step, half = 1 << k, h
         h = h[:-step] * mul + h[step:]
+    if length == LONG_GRAM:  # half: the 8-byte grams
+        h = h[: len(data) - length + 1] * _MUL[2] + half[GRAM : len(data) - length + 1 + GRAM]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -75,10 +83,10 @@ def anchors(data: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    window = size - GRAM + 1
+    window = size - gram_bytes(size) + 1
     for a in range(0, n, 1 << 16):
         b = min(n, a + (1 << 16))
-        h = grams(data[a : b + size - 1])
+        h = grams(data[a : b + size - 1], gram_bytes(size))
         span = 1
         while 2 * span <= window:
             h = np.minimum(h[:-span], h[span:])
@@ -119,9 +127,9 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class Bucket:
-    """The runs of equal anchors of a bucket's documents; of equal texts only those with the least id count."""
+    """A bucket's documents and, if wanted, their runs of equal anchors; of equal texts only those with the least id count."""
 
-    def __init__(self, t: pa.Table, size: int) -> None:
+    def __init__(self, t: pa.Table, size: int, runs: bool = True) -> None:
         # Shuffled rows come in any order; every stage must number segments alike.
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         later = t["text"].is_null().to_numpy()
@@ -136,6 +144,10 @@ class Bucket:
         self.data, self.off = text_buffer(t["text"])
         self.ids = t["doc_id"].to_pylist()
         self.doc_id = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
+        if runs:
+            self._runs(size)
+
+    def _runs(self, size: int) -> None:
         hashes = anchors(self.data, size)
         n = len(hashes)
         change = np.ones(n, bool)
@@ -166,64 +178,60 @@ class Bucket:
 
     def cores(self, runs: np.ndarray, size: int) -> "Cores":
         """What the runs of wide anchors are cut into: stretches of starts with the same core."""
-        n = self.stop[runs] - self.start[runs]
-        s = np.repeat(self.start[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        doc = np.repeat(self.doc[runs], n)
-        at, window = np.empty(len(s), np.int64), np.arange(size - GRAM + 1)
-        h = grams(self.data) if len(s) else np.zeros(0, np.uint64)
-        for a in range(0, len(s), 1 << 15):
-            at[a : a + (1 << 15)] = h[s[a : a + (1 << 15), None] + window].argmin(1)  # the first of equal ones: the same in equal strings
+        start, stop, doc = self.start[runs], self.stop[runs], self.doc[runs]
+        gram = gram_bytes(size)
+        window = np.arange(size - gram + 1)
         half = len(window) // 2
-        far = at >= half
-        core = s + at - np.where(far, half, 0)
-        new = np.ones(len(s), bool)
-        new[1:] = (core[1:] != core[:-1]) | (far[1:] != far[:-1]) | (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        stop = s[np.r_[first[1:] - 1, len(s) - 1]] + 1 if len(s) else s
-        raw, s, core, far = self.data.tobytes(), s[first], core[first], far[first]
-        length = np.where(far, half + GRAM, size - half + 1)
+        h = grams(self.data, gram) if len(start) else np.zeros(0, np.uint64)
+        found: list[tuple[np.ndarray, ...]] = [(start[:0], stop[:0], doc[:0], start[:0], np.zeros(0, bool))]
+        while len(start):
+            at = np.empty(len(start), np.int64)
+            for a in range(0, len(start), 1 << 15):
+                at[a : a + (1 << 15)] = h[start[a : a + (1 << 15), None] + window].argmin(1)  # the first of equal ones: the same in equal strings
+            least = start + at
+            end = np.minimum(stop, least + 1)  # later starts of the run have a later gram
+            near = np.clip(least - half + 1, start, end)  # the first start that the gram is less than half a window behind
+            for lo, hi, core, far in ((start, near, least - half, True), (near, end, least, False)):
+                some = lo < hi
+                found.append((lo[some], hi[some], doc[some], core[some], np.full(some.sum(), far)))
+            left = end < stop
+            start, stop, doc = end[left], stop[left], doc[left]
+        s, stop, doc, core, far = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(s)
+        s, stop, doc, core, far = s[order], stop[order], doc[order], core[order], far[order]
+        raw = self.data.tobytes()
+        length = np.where(far, half + gram, size - half + 1)
         mark = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=6).digest(), "little")
         keys = [mark((b"<" if f else b">") + raw[c : c + m]) for c, m, f in zip(core.tolist(), length.tolist(), far.tolist())]
         contents = [mark(raw[a : b + size - 1]) for a, b in zip(s.tolist(), stop.tolist())]
-        return Cores(s, stop, doc[first], np.array(keys, np.uint64), np.array(contents, np.uint64))
-
-    def segments(self, anchored: pa.Table, cored: pa.Table, size: int, ranges: int) -> tuple[dict[tuple[int, bytes], int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct segments that another document may share.
+        return Cores(s, stop, doc, np.array(keys, np.uint64), np.array(contents, np.uint64))
 
-        Returns (range, bytes) -> number, each one's key and smallest id, and of every occurrence its first
-        start, its document and its segment. A deterministic function of the bucket and the answers.
-        """
+    def segments(self, anchored: pa.Table, cored: pa.Table, size: int, ranges: int) -> tuple[list[bytes], np.ndarray, "Segments"]:
+        """The bytes and keys of the distinct segments that another document may share, and where they are."""
         take, wide = self.taken(anchored)
         plain, cut = take[~wide], self.cores(take[wide], size)
         keys, many = exchange.answered(cored)
         found, at = exchange.member(keys, cut.key)
         live = found | exchange.member(_in_two(cut.key, cut.doc), cut.key)[0]
-        single = (found & (many[at] if len(many) else False))[live]
-        start, stop, doc, key = (np.concatenate([getattr(self, c)[plain], getattr(cut, c)[live]]) for c in ("start", "stop", "doc", "key"))
-        single = np.concatenate([np.zeros(len(plain), bool), single])
-        known: dict[tuple[int, bytes], int] = {}
-        own_key: list[int] = []
-        least: list[int] = []
+        single = found & (many[at] if len(many) else False)
+        whole, split = live & ~single, live & single
+        n = (cut.stop - cut.start)[split]
+        one = np.repeat(cut.start[split] - np.cumsum(n) + n, n) + np.arange(n.sum())
         raw = self.data.tobytes()
-        begin, docs, seg = [], [], []
-        rng = exchange.range_of(key, ranges)
-        for a, b, i, key, r, w in zip(start.tolist(), stop.tolist(), doc.tolist(), key.tolist(), rng.tolist(), single.tolist()):
-            who = int(self.doc_id[i])
-            for s, e in [(j, j + 1) for j in range(a, b)] if w else [(a, b)]:
-                piece = raw[s : e + size - 1]
-                if w:
-                    key = int.from_bytes(hashlib.blake2b(piece, digest_size=6).digest(), "little")
-                    r = (key >> 24) * ranges >> 24
-                n = known.setdefault((r, piece), len(own_key))
-                if n == len(own_key):
-                    own_key.append(key)
-                    least.append(who)
-                elif who < least[n]:
-                    least[n] = who
-                begin.append(s)
-                docs.append(i)
-                seg.append(n)
-        return known, own_key, least, np.array(begin, np.int64), np.array(docs, np.int64), np.array(seg, np.int64)
+        pieces: list[bytes] = []
+        own_key, begins, segs = [], [], []
+        # Equal bytes have equal keys within each of the three.
+        for begin, end, key in ((self.start[plain], self.stop[plain], self.key[plain]), (cut.start[whole], cut.stop[whole], cut.key[whole]), (one, one + 1, None)):
+            number: dict[bytes, int] = {}
+            seg = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), (end + (size - 1)).tolist())], np.int64)
+            new = np.flatnonzero(np.diff(np.maximum.accumulate(seg), prepend=-1))
+            own_key.append(key[new] if key is not None else np.array([int.from_bytes(hashlib.blake2b(p, digest_size=6).digest(), "little") for p in number], np.uint64))
+            begins.append(begin)
+            segs.append(seg + len(pieces))
+            pieces.extend(number)
+        keys = np.concatenate(own_key)
+        starts = np.array([len(p) for p in pieces], np.int64) - (size - 1)
+        return pieces, keys, Segments(np.concatenate(begins), np.concatenate(segs), starts, exchange.range_of(keys, ranges))
 
 
 @dataclass
@@ -244,11 +252,46 @@ def _in_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(k[np.flatnonzero((k[1:] == k[:-1]) & (d[1:] != d[:-1])) + 1])
 
 
-def _by_range(known: dict[tuple[int, bytes], int]) -> dict[int, list[tuple[bytes, int]]]:
-    out: dict[int, list[tuple[bytes, int]]] = {}
-    for (r, piece), n in known.items():
-        out.setdefault(r, []).append((piece, n))
-    return out
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, packed byte by byte."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _loosen(cell: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(cell), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+@dataclass
+class Segments:
+    """Of every occurrence of a segment, its first start and its number; of every segment, its starts and its range."""
+
+    begin: np.ndarray
+    seg: np.ndarray
+    starts: np.ndarray
+    rng: np.ndarray
+
+    def by_range(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each range and the numbers of its segments."""
+        order = np.argsort(self.rng, kind="stable")
+        used, at = np.unique(self.rng[order], return_index=True)
+        for r, own in zip(used.tolist(), np.split(order, at[1:])):
+            yield r, own
+
+    def least(self, who: np.ndarray) -> np.ndarray:
+        """The smallest id of each segment's occurrences, whose documents have the ids `who`."""
+        out = np.full(len(self.starts), NO_ID, np.int64)
+        np.minimum.at(out, self.seg, who)
+        return out
+
+    def packed(self) -> list[bytes]:
+        return [_squeeze(np.diff(self.begin, prepend=0)), _squeeze(np.diff(self.seg, prepend=0)), _squeeze(self.starts), _squeeze(self.rng)]
+
+    @classmethod
+    def unpacked(cls, cells: list[bytes]) -> "Segments":
+        begin, seg, starts, rng = map(_loosen, cells)
+        signed = lambda x: np.cumsum(x.astype(np.uint32).view(np.int32), dtype=np.int64)
+        return cls(signed(begin), signed(seg), starts, rng)
 
 
 def _sort_range(t: pa.Table, size: int) -> Iterator[tuple[int, bytes]]:
@@ -316,16 +359,13 @@ def _sort_range(t: pa.Table, size: int) -> Iterator[tuple[int, bytes]]:
         yield bkt, n_runs.astype("<u1").tobytes() + run_len[idx].astype("<u1").tobytes() + smallest[run_at[idx]].astype("<i8").tobytes()
 
 
-def _marks(b: Bucket, parts: tuple, replies: dict[int, bytes], size: int) -> np.ndarray:
+def _marks(b: Bucket, parts: Segments, replies: dict[int, bytes], size: int) -> np.ndarray:
     """Which bytes of the bucket go."""
-    known, _, least, begin, doc, seg = parts
-    n_seg = len(least)
-    length = np.zeros(n_seg, np.int64)
-    runs: list[np.ndarray] = []
+    begin, seg, length, n_seg = parts.begin, parts.seg, parts.starts, len(parts.starts)
+    doc = np.searchsorted(b.off, begin, "right") - 1
+    least = parts.least(b.doc_id[doc])
     seg_of, len_of, id_of = [], [], []
-    for r, pieces in _by_range(known).items():
-        own = np.array([n for _, n in pieces], np.int64)
-        length[own] = [len(p) - size + 1 for p, _ in pieces]
+    for r, own in parts.by_range():
         raw = replies[r]
         n_runs = np.frombuffer(raw, "<u1", len(own)).astype(np.int64)
         total = int(n_runs.sum())
@@ -337,7 +377,7 @@ def _marks(b: Bucket, parts: tuple, replies: dict[int, bytes], size: int) -> np.
         plain = own[n_runs == 0]
         seg_of.append(plain)
         len_of.append(length[plain])
-        id_of.append(np.array(least, np.int64)[plain])
+        id_of.append(least[plain])
     out = np.zeros(len(b.data) + 1, np.int64)
     if n_seg:
         s, n, i = np.concatenate(seg_of), np.concatenate(len_of), np.concatenate(id_of)
@@ -400,24 +440,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"rng": [], "bkt": [], "keys": [], "ids": [], "lens": [], "text": []}
         if left.num_rows:
-            known, key, least, *_ = Bucket(left, size).segments(part(right, 0), part(right, 1), size, sort_ranges)
+            b = Bucket(left, size)
+            pieces, key, parts = b.segments(part(right, 0), part(right, 1), size, sort_ranges)
+            least = parts.least(b.doc_id[np.searchsorted(b.off, parts.begin, "right") - 1])
             bkt, squeeze = left["bkt"][0].as_py(), zstandard.ZstdCompressor(level=1).compress
-            for r, pieces in _by_range(known).items():
-                own = [n for _, n in pieces]
-                row = (r, bkt, exchange.pack6(np.array([key[n] for n in own], np.uint64)), squeeze(np.array([least[n] for n in own], "<i8").tobytes()), np.array([len(p) for p, _ in pieces], "<u2").tobytes(), squeeze(b"".join(p for p, _ in pieces)))
+            rows = [(r, bkt, exchange.pack6(key[own]), squeeze(least[own].astype("<i8").tobytes()), (parts.starts[own] + (size - 1)).astype("<u2").tobytes(), squeeze(b"".join([pieces[n] for n in own.tolist()]))) for r, own in parts.by_range()]
+            # Where the bucket's segments are comes back to it with the answers, by a range of its own.
+            for row in [*rows, (sort_ranges + bkt, bkt, *parts.packed())]:
                 for c, v in zip(out, row):
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("rng", "bkt") else pa.binary()) for c, v in out.items()})
 
     def settle(t: pa.Table) -> pa.Table:
-        rows = list(_sort_range(t, size))
         rng = t["rng"][0].as_py()
+        if rng >= sort_ranges:
+            bkt, own = t["bkt"][0].as_py(), ("keys", "ids", "lens", "text")
+            return pa.table([pa.array([bkt] * 4, pa.int32()), pa.array([-1 - k for k in range(4)], pa.int32()), pa.array([t[c][0].as_py() for c in own], pa.binary())], names=["bkt", "rng", "cell"])
+        rows = list(_sort_range(t, size))
         return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([rng] * len(rows), pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["bkt", "rng", "cell"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, answers = Bucket(left, size), part(right, 2)
-        parts = b.segments(part(right, 0), part(right, 1), size, sort_ranges)
-        replies = dict(zip(answers["rng"].to_pylist(), answers["cell"].to_pylist()))
+        replies = dict(zip(right["rng"].to_pylist(), right["cell"].to_pylist()))
+        b, parts = Bucket(left, size, runs=False), Segments.unpacked([replies[-1 - k] for k in range(4)])
         return _report(b, _marks(b, parts, replies, size))
 
     def of(kind: int, df: DataFrame) -> DataFrame:
@@ -429,5 +473,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = of(0, anchored).unionByName(of(1, cored))
     segments = dealt.groupBy("bkt").cogroup(shared.groupBy("bkt")).applyInArrow(cut, "rng int, bkt int, keys binary, ids binary, lens binary, text binary")
     replies = segments.groupBy("rng").applyInArrow(settle, "bkt int, rng int, cell binary")
-    back = shared.unionByName(of(2, replies))
-    return dealt.groupBy("bkt").cogroup(back.groupBy("bkt")).applyInArrow(finish, RESULT)
+    return dealt.groupBy("bkt").cogroup(replies.groupBy("bkt")).applyInArrow(finish, RESULT)
