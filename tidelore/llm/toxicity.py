@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, text_buffer
 from .lexicon import Lexicon, distinct_terms
 
 PER_CLASS = 3000
@@ -46,6 +47,8 @@ TOGETHER = 256
 LINE = 8
 #: Error of a cosine in single precision, and more.
 SLACK = 1e-4
+#: Examples that an index takes in at once.
+TAKEN = 256
 #: Terms whose document counts travel in one row.
 COUNTED_TERMS = 1 << 14
 FOLDS = 5
@@ -83,39 +86,51 @@ class Index:
         n = len(ids)
         self.n, self.blocks = n, max(1, -(-n // BLOCK))
         row, term, tf = vectors
-        value = self.weights(row, term, tf, n).astype(np.float32)
-        held = np.bincount(term, minlength=len(scale))
+        ends = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
+        # A few examples at a time: every worker builds this, and all their numbers at once would take more than the index.
+        taken = [(a, min(a + TAKEN, n), slice(ends[a], ends[min(a + TAKEN, n)])) for a in range(0, n, TAKEN)]
+        held = np.zeros(len(scale), np.int32)
+        for _, _, own in taken:
+            held += np.bincount(term[own], minlength=len(scale))
         self.place = np.full(len(scale), -1, np.int32)
         common = np.flatnonzero(held >= COMMON * n)
         self.place[common] = np.arange(len(common))
-        in_common = self.place[term] >= 0
-        dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        dense[row[in_common], self.place[term[in_common]]] = value[in_common]
-        order = np.lexsort((ids, alike(dense[:n])))
-        dense[:n] = dense[order]
-        self.dense = dense
-        self.peak = dense.reshape(self.blocks, BLOCK, len(common)).max(1).T.copy()
-        self.ids, self.y, self.order = ids[order], y[order].astype(float), order
-        back = np.empty(n, np.int32)
-        back[order] = np.arange(n)
-        row, term, value = back[row[~in_common]], term[~in_common], value[~in_common]
-        by = np.lexsort((row, term))
-        row, term, value = row[by], term[by], value[by]
-        del by, in_common
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         held[common] = 0
         lines = -(-held // LINE)
         self.start = np.concatenate([[0], np.cumsum(lines)])
-        place = (self.start[:-1] * LINE - np.cumsum(held) + held)[term]
-        place += np.arange(len(term))
-        self.rows, self.values = np.zeros((self.start[-1], LINE), np.int32), np.zeros((self.start[-1], LINE), np.float32)
-        self.rows.ravel()[place], self.values.ravel()[place] = row, value
+        self.rows, self.values = np.zeros((self.start[-1], LINE), np.uint16 if n <= 1 << 16 else np.int32), np.zeros((self.start[-1], LINE), np.float32)
+        free = self.start[:-1] * LINE
+        for a, b, own in taken:
+            doc, terms = row[own].astype(np.int64), term[own]
+            value = self.weights(doc - a, terms, tf[own], b - a).astype(np.float32)
+            place = self.place[terms]
+            rare = place < 0
+            self.dense[doc[~rare], place[~rare]] = value[~rare]
+            doc, terms, value = doc[rare], terms[rare], value[rare]
+            by = np.argsort(terms, kind="stable")
+            doc, terms, value = doc[by], terms[by], value[by]
+            new = np.flatnonzero(np.diff(terms, prepend=-1))
+            size = np.diff(new, append=len(terms))
+            at = _ranges(free[terms[new]], size)
+            self.rows.ravel()[at], self.values.ravel()[at] = doc, value
+            free[terms[new]] += size
+        order = np.lexsort((ids, alike(self.dense[:n])))
+        back = np.empty(n, self.rows.dtype)
+        back[order] = np.arange(n)
+        for a in range(0, len(common), TAKEN):
+            self.dense[:n, a : a + TAKEN] = self.dense[order, a : a + TAKEN]
+        for a in range(0, len(self.rows), 1 << 16):
+            self.rows[a : a + (1 << 16)] = back[self.rows[a : a + (1 << 16)]]
+        self.peak = self.dense.reshape(self.blocks, BLOCK, len(common)).max(1).T.copy()
+        self.ids, self.y, self.order, self.back = ids[order], y[order].astype(float), order, back
         have = np.array([max(1, (y == c).sum()) for c in (0, 1)], float)
         weight = np.where(self.y == 1, totals[1] / have[1], totals[0] / have[0])
         self.weight = weight / weight.mean() if n else weight
 
     def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
         """Unit vectors of n documents."""
-        v = np.log(tf)
+        v = np.log(tf, dtype=float)
         v += 1
         v *= self.scale[term]
         v /= np.sqrt(np.bincount(doc, weights=v * v, minlength=n))[doc]
@@ -165,12 +180,12 @@ class Index:
         out = np.zeros((n_docs, width))
         at = self.start[term]
         size = self.start[term + 1] - at
-        lines, own = _ranges(at, size), np.repeat(v, size)[:, None]
-        cut = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(doc, np.arange(n_docs + 1))].tolist()
+        cut = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
         for d, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a < b:
-                held = self.values.take(lines[a:b], axis=0) * own[a:b]
-                out[d] = np.bincount(self.rows.take(lines[a:b], axis=0).ravel(), weights=held.ravel(), minlength=width)
+            lines = _ranges(at[a:b], size[a:b])
+            if len(lines):
+                held = self.values.take(lines, axis=0) * np.repeat(v[a:b], size[a:b])[:, None]
+                out[d] = np.bincount(self.rows.take(lines, axis=0).ravel(), weights=held.ravel(), minlength=width)
         return out
 
     def _visit(self, wanted: np.ndarray, single: np.ndarray, sums: np.ndarray, found: np.ndarray, without: np.ndarray | None) -> None:
@@ -203,37 +218,41 @@ def alike(rows: np.ndarray) -> np.ndarray:
     centre = rows[np.linspace(0, n - 1, min(GROUPS, n)).astype(int)]
     for _ in range(5):
         own = (rows @ centre.T).argmax(1)
-        centre = np.stack([rows[own == g].sum(0) for g in range(len(centre))])
+        centre = (own == np.arange(len(centre))[:, None]).astype(np.float32) @ rows
         centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-9)
     return own
 
 
 @dataclass
 class Examples:
-    """Term counts of the examples, from which every worker builds the index for itself; it goes with the broadcast that holds it."""
+    """Term counts of the examples (by ids, ascending), from which every worker builds the index for itself; it goes
+    with the broadcast that holds it, and the counts go once it is built."""
 
     ids: np.ndarray
     y: np.ndarray
-    row: np.ndarray
-    terms: np.ndarray
-    tf: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray | None
+    tf: np.ndarray | None
     scale: np.ndarray
     totals: tuple[float, float]
     built: Index | None = None
 
     def index(self) -> Index:
         if self.built is None:
-            self.built = Index(self.ids, self.y, (self.row, self.terms, self.tf), self.scale, self.totals)
+            row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+            self.built = Index(self.ids, self.y, (row, self.terms, self.tf), self.scale, self.totals)
+            self.terms = self.tf = None
         return self.built
 
-    def votes(self, at: np.ndarray) -> list[float]:
-        """Votes of the examples at some positions of the index, each scored without itself."""
-        index, ends = self.index(), np.searchsorted(self.row, np.arange(len(self.ids) + 1))
-        own = index.order[at]
-        size = ends[own + 1] - ends[own]
-        pick = _ranges(ends[own], size)
-        near = index.nearest(np.repeat(np.arange(len(at)), size), self.terms[pick], self.tf[pick], len(at), NEIGHBOURS, at)
-        return [index.vote(*x) for x in near]
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Positions of some examples in the index."""
+        return self.index().back[np.searchsorted(self.ids, ids)].astype(np.int64)
+
+
+def _cells(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in binary cells end to end, and how many each has."""
+    raw, ends = text_buffer(column)
+    return raw.view("<i4"), np.diff(ends) // 4
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -269,7 +288,9 @@ def score_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, i
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen, totals = _examples(labels, per_class, id_col, label_col)
-    sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # at most 2 * per_class rows
+    # At most 2 * per_class rows; as a table, since a list would start further Python processes on the executors.
+    picked = pa.table([pa.array([x[i] for x in chosen], kind) for i, kind in enumerate((pa.int64(), pa.int32()))], names=["doc_id", "y"])
+    sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _groups(batches):
@@ -319,37 +340,51 @@ def score_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, i
             cut = lambda x: pa.array([x[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([own["doc_id"], own["y"], cut(term), cut(tf)], names=["doc_id", "y", "terms", "tf"])
 
-    rows = taught.select("doc_id", "y", "text").mapInArrow(teach, "doc_id long, y int, terms binary, tf binary").toArrow().sort_by("doc_id")
-    terms, tf = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), "<i4") for c in ("terms", "tf"))
-    row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), [len(x.as_py()) // 4 for x in rows["terms"]])
-    taught_by = Examples(rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), row, terms, tf, scale, totals)
+    vectors = materialize(taught.select("doc_id", "y", "text").mapInArrow(teach, "doc_id long, y int, terms binary, tf binary"), "vectors")
+    rows = vectors.toArrow().sort_by("doc_id")
+    terms, sizes = _cells(rows["terms"])
+    tf, _ = _cells(rows["tf"])
+    tf = tf.astype(np.min_scalar_type(tf.max(initial=0)))
+    taught_by = Examples(rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), sizes.astype(np.int32), terms, tf, scale, totals)
     n_examples = rows.num_rows
+    del rows
     shared = spark.sparkContext.broadcast(taught_by)
-    del rows, row, terms, tf, taught_by
+    del terms, tf, taught_by
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Votes of examples, each scored without itself."""
         for own in _groups(batches):
-            ix, at = shared.value.index(), own["id"].to_numpy()
-            yield pa.RecordBatch.from_arrays([own["id"], pa.array(shared.value.votes(at), pa.float64()), pa.array(ix.y[at]), pa.array(ix.weight[at])], names=["at", "raw", "y", "weight"])
+            ix, at = shared.value.index(), shared.value.places(own["doc_id"].to_numpy())
+            term, size = _cells(own["terms"])
+            near = ix.nearest(np.repeat(np.arange(len(at)), size), term, _cells(own["tf"])[0], len(at), NEIGHBOURS, at)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([ix.vote(*x) for x in near], pa.float64()), pa.array(ix.y[at]), pa.array(ix.weight[at])], names=["at", "raw", "y", "weight"])
 
     curve = (1.0, 0.0)
     if n_examples:
-        own = spark.range(n_examples).mapInArrow(votes, "at long, raw double, y double, weight double").toArrow().sort_by("at")
+        own = vectors.select("doc_id", "terms", "tf").mapInArrow(votes, "at long, raw double, y double, weight double").toArrow().sort_by("at")
         raw, y, weight = (own[c].to_numpy() for c in ("raw", "y", "weight"))
         curve = logistic(np.log(raw / (1 - raw)), y, weight) if 0 < y.sum() < len(y) else curve
 
+    # A text that is a column of the row travels within it, not twice.
+    field = [c for c, kind in docs.dtypes if kind == "string"]
+    field = docs.columns.index(text_col) if text_col in field else None
+
+    def own_texts(own: pa.RecordBatch) -> list[str]:
+        return [x or "" for x in (own["text"] if field is None else pc.struct_field(own["row"], field)).to_pylist()]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value.index()
         ix.curve = curve
         lexicon = Lexicon(*words.value)
         for own in _groups(batches):
-            near = ix.nearest(*lexicon.counts(own["text"].to_pylist()), own.num_rows, NEIGHBOURS)
+            near = ix.nearest(*lexicon.counts(own_texts(own)), own.num_rows, NEIGHBOURS)
             scores = pa.array([ix.score(ix.vote(*x)) for x in near], pa.float64())
             evidence = pa.array([ix.ids[x[:3]].tolist() for x, _ in near], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([own["row"], scores, evidence], names=["row", "score", "evidence"])
 
     schema = StructType([StructField("row", docs.schema), StructField("score", DoubleType()), StructField("evidence", ArrayType(LongType()))])
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(score, schema)
+    given = docs.select(F.struct("*").alias("row"), *([F.col(text_col).cast("string").alias("text")] if field is None else []))
+    return given.mapInArrow(score, schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
