@@ -1,8 +1,12 @@
 """Merging of hits on small frames."""
 
 import random
+from fractions import Fraction
+
+import numpy as np
 
 from tidelore.functions.features import postings
+from tidelore.operators.near import bands
 from tidelore.operators.search import coverage, merge_hits, near_pairs
 
 HITS = "query_id long, hit_type string, hit_id long, kind string, content string, source_turn_id long, score double"
@@ -49,3 +53,27 @@ def test_coverage_is_summed_where_documents_are_read(spark):
         one, other = ({(r["query_id"], r["hit_id"]): (round(r["exact"], 6), round(r["coarse"], 6)) for r in coverage(terms, posted, kind, small).collect()} for small in (True, False))
         assert one == other and bool(one) == (kind != "entry")
     assert "Exchange" not in coverage(terms, posted.coalesce(1).cache(), "turn", True)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+
+def test_near_pairs_compare_whole_texts(spark):
+    rng = random.Random(5)
+    head = {f"frequent{i}" for i in range(60)}
+    sets = {k: head | {f"tail{rng.randint(0, 400)}" for _ in range(300)} for k in range(8)}
+    for k in range(8, 20):
+        sets[k] = {t for t in sets[k % 8] if rng.random() > 0.06 * (k % 3)} | {f"own{k}"}
+    for k in range(20, 50):
+        sets[k] = {f"{k}{t}" if rng.random() < 0.02 * (k - 20) else t for t in sets[0]}
+    twice = lambda s: " ".join([t for t in sorted(s) for _ in range(1 + 8 * t.startswith("frequent"))])
+    docs = spark.createDataFrame([(k, twice(s)) for k, s in sets.items()] + [(50, twice(sets[0])), (51, None), (None, twice(sets[0]))], "id long, text string")
+    want = _near(sets | {50: sets[0]}, 0.8)
+    assert 8 < len(want) < 500
+    got = near_pairs(docs, "id", "text").collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == want
+
+
+def test_bands_hold_all_partners():
+    for t in (Fraction(4, 5), Fraction(9, 20), Fraction(1, 2), Fraction(99, 100)):
+        edges = bands(3000, t)
+        of = lambda n: int(np.searchsorted(edges, n, "right"))
+        for n in range(1, 3000):
+            assert of(min(3000, int(n / t))) - of(n) in (0, 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,26 +150,26 @@ def lists_array(lists: list[list[tuple[str, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, list(TERM_NAMES)))
 
 
-def term_lists(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> DataFrame:
-    """(keys, terms): the `max_terms` heaviest features of the normalised texts of each key, in order, where there are any.
+def _of_keys(docs: DataFrame, keys: list[str], text: str, name: str, kind: str, item: Callable[[dict[str, int]], object], packed: Callable[[list], pa.Array]) -> DataFrame:
+    """(keys, name): `item` of the features of the normalised texts of each key, where there are any; `packed` makes a column of items.
 
     Texts are dealt by their keys once and lie there by key; term rows are neither exchanged nor made.
     """
     rows = docs.select(*keys, F.col(text).alias("_text")).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, own, lists, key, have = [], [], [], None, {}
+        types, own, items, key, have = [], [], [], None, {}
 
         def taken() -> pa.RecordBatch:
             columns = [pa.array([k[i] for k in own], t) for i, t in enumerate(types)]
-            out = pa.RecordBatch.from_arrays([*columns, lists_array(lists)], names=[*keys, "terms"])
-            own.clear(), lists.clear()
+            out = pa.RecordBatch.from_arrays([*columns, packed(items)], names=[*keys, name])
+            own.clear(), items.clear()
             return out
 
         def close() -> None:
             if have:
                 own.append(key)
-                lists.append(heaviest(have, max_terms))
+                items.append(item(have))
 
         for batch in batches:
             types = [batch[c].type for c in keys]
@@ -188,7 +188,26 @@ def term_lists(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> D
             yield taken()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return rows.mapInArrow(run, f"{fields}, terms {TERM}")
+    return rows.mapInArrow(run, f"{fields}, {name} {kind}")
+
+
+def term_lists(docs: DataFrame, keys: list[str], text: str, max_terms: int) -> DataFrame:
+    """(keys, terms): the `max_terms` heaviest features of the normalised texts of each key, in order, where there are any."""
+    return _of_keys(docs, keys, text, "terms", TERM, lambda have: heaviest(have, max_terms), lists_array)
+
+
+def _hashed(terms: dict[str, int]) -> np.ndarray:
+    return np.sort(pd.util.hash_array(np.array(list(terms), object), categorize=False).view(np.int64))
+
+
+def _sets_array(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+
+
+def term_sets(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, hashes): all features of the normalised texts of each key, as 64-bit hashes that ascend, where there are any."""
+    return _of_keys(docs, keys, text, "hashes", "array<long>", _hashed, _sets_array)
 
 
 def top_terms(weighted: DataFrame, keys: list[str], max_terms: int) -> DataFrame:

@@ -6,8 +6,8 @@ document's coarse score uses its few heaviest terms (what its sketch holds), its
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..durable import stored
 from ..functions import constants as K
-from ..functions.features import postings, query_features, term_lists
-from ..functions.text import anchor_factor, any_cue, jaccard, looked_up, normalize_text, strong_anchors, with_normalized
+from ..functions.features import query_features, term_lists, term_sets
+from ..functions.text import anchor_factor, any_cue, looked_up, normalize_text, strong_anchors, with_normalized
 from .excerpt import excerpts
+from .near import near_sets
 
 #: Terms of a document that count for its coarse and its exact score.
 COARSE = {"turn": 64, "entry": 48, "attachment": 96}
@@ -189,38 +190,20 @@ def next_assistant(turns: DataFrame) -> DataFrame:
     return turns.select("turn_id", F.first(F.when(F.col("role") == "assistant", F.col("turn_id")), ignorenulls=True).over(after).alias("reply_id")).filter("reply_id is not null")
 
 
-def near_pairs(docs: DataFrame, key: str, text: str, max_terms: int = 48, least: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of documents whose term sets have Jaccard similarity `least` or more.
+def near_pairs(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+    """(a, b, similarity) of documents whose sets of all terms have Jaccard similarity `least` or more.
 
-    Equal sets are compared once. Terms are put in order of rising frequency. Two different sets of similarity t share
-    m = ceil(t / (1 - t)) terms or more, so the first j = min(2, m) terms that they share are among the first
-    n - c + j of each, c the least overlap that their sizes allow: these j terms together are joined, and only where their
-    places leave room for c. The pairs found are then compared in full.
+    Terms stand for their 64-bit hashes. Equal sets are compared once; different ones by near_sets.
     """
-    p = stored(postings(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null"), ["k"], "t", max_terms).select("k", "term"), "terms")
-    ordered = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
-    every = stored(ordered.select("k", F.transform("o", lambda x: x["term"]).alias("terms")), "sets")
-    sets = stored(every.groupBy("terms").agg(F.min("k").alias("one")).select("one", "terms", F.size("terms").alias("n")), "distinct")
-    of = stored(every.join(sets, "terms").select("k", "one"), "members")
-    j = 1 if least >= 1 else min(2, max(1, math.ceil(least / (1 - least) - 1e-9)))
-    share = F.lit(least).cast("decimal(9,6)")
-
-    def marked(overlap: Column, one: str, n: str, place: str) -> DataFrame:
-        """The joined terms of each set's first n - overlap + j, with the place of the last."""
-        first = sets.select(F.col("one").alias(one), F.col("n").alias(n), F.slice("terms", F.lit(1), F.least(F.col("n"), F.col("n") - overlap + j).cast("int")).alias("_f"))
-        rows = first.select(one, n, "_f", F.posexplode("_f").alias("_p", "_t"))
-        if j == 1:
-            return rows.select(F.xxhash64("_t").alias("mark"), one, n, (F.col("_p") + 1).alias(place))
-        return rows.select(one, n, (F.col("_p") + 1).alias(place), "_t", F.explode(F.slice("_f", F.lit(1), F.col("_p"))).alias("_u")).select(F.xxhash64("_u", "_t").alias("mark"), one, n, place)
-
-    # The smaller set of a pair shares at least 2 t n / (1 + t) of its n terms, the larger one t n.
-    small = marked(F.ceil(F.col("n") * F.lit(2 * least / (1 + least)) - 1e-6), "a", "na", "pa")
-    large = marked(F.ceil(F.col("n") * share), "b", "nb", "pb")
-    met = small.join(large, "mark").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).filter(F.col("na") >= share * F.col("nb"))
-    met = met.filter((j + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (1 + share) >= share * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-    full = met.join(sets.select(F.col("one").alias("a"), F.col("terms").alias("ta")), "a").join(sets.select(F.col("one").alias("b"), F.col("terms").alias("tb")), "b")
-    alike = full.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null")
+    every = stored(term_sets(rows, ["k"], "t").select("k", "hashes", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("_s"), F.xxhash64(F.lit(1), "hashes").alias("_u")), "sets")
+    classes = every.groupBy("n", "_s", "_u").agg(F.min("k").alias("one"))
+    of = stored(every.select("k", "n", "_s", "_u").join(classes, ["n", "_s", "_u"]).select("k", "one"), "members")
+    equal = of.select(F.col("k").alias("a"), "one").join(of.select(F.col("k").alias("b"), "one"), "one").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    if least >= 1:
+        return equal
+    sets = every.select("k", "n", "hashes").join(of.filter("k = one").select("k"), "k", "left_semi")
+    alike = near_sets(sets, Fraction(str(least)))
     ends = alike.join(of.select(F.col("k").alias("ka"), F.col("one").alias("a")), "a").join(of.select(F.col("k").alias("kb"), F.col("one").alias("b")), "b")
     across = ends.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
-    equal = of.select(F.col("k").alias("a"), "one").join(of.select(F.col("k").alias("b"), "one"), "one").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     return across.unionByName(equal)

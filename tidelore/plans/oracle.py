@@ -198,7 +198,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower({_norm('content'
 c AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_type <> 'entry', s DESC, hit_id DESC) AS INTEGER) AS rank FROM b WHERE m = 1)
 SELECT query_id, rank, hit_type, hit_id, round(score, 9) AS score FROM c WHERE rank <= 8""",
         "budget_prefix": f"WITH x AS (SELECT session_id, seq, {toks} AS tokens FROM ({TURNS})), r AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS running FROM x) SELECT * FROM r WHERE running <= 200",
-        "jaccard_pairs": f"""WITH t AS (SELECT doc_id, {_norm('text')} AS body FROM documents), p AS ({_ranked('t', 'doc_id', 'body', 48)}), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+        "jaccard_pairs": f"""WITH t AS (SELECT doc_id, {_norm('text')} AS body FROM documents), p AS ({_features('t', 'doc_id', 'body')}), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM p x JOIN p y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, round(k / (u.n + v.n - k), 9) AS similarity FROM b JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE k / (u.n + v.n - k) >= 0.8""",
         "context_mode": f"""WITH g AS (SELECT conv_id, CAST(sum({_tokens('text')}) AS BIGINT) AS tokens, arg_max(substr(trim(text), 1, 1000), turn) FILTER (role = 'user' AND trim(text) <> '') AS task, count(*) AS n FROM conversations GROUP BY conv_id)
