@@ -64,11 +64,14 @@ def test_near_pairs_compare_whole_texts(spark):
     for k in range(20, 50):
         sets[k] = {f"{k}{t}" if rng.random() < 0.02 * (k - 20) else t for t in sets[0]}
     twice = lambda s: " ".join([t for t in sorted(s) for _ in range(1 + 8 * t.startswith("frequent"))])
-    docs = spark.createDataFrame([(k, twice(s)) for k, s in sets.items()] + [(50, twice(sets[0])), (51, None), (None, twice(sets[0]))], "id long, text string")
-    want = _near(sets | {50: sets[0]}, 0.8)
+    rows = [(k, twice(s)) for k, s in sets.items()] + [(50, twice(sets[0])), (51, None), (None, twice(sets[0]))]
+    parts = [(52, " ".join(sorted(sets[1])[:200])), *rows, (52, " ".join(sorted(sets[1])[150:]))]
+    docs = spark.createDataFrame(parts, "id long, text string")
+    want = _near(sets | {50: sets[0], 52: sets[1]}, 0.8)
     assert 8 < len(want) < 500
-    got = near_pairs(docs, "id", "text").collect()
-    assert len(got) == len(want) and {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == want
+    for n in (1, 6):
+        got = near_pairs(docs.repartition(n), "id", "text").collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == want
 
 
 def test_bands_hold_all_partners():

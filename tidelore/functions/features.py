@@ -150,12 +150,15 @@ def lists_array(lists: list[list[tuple[str, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, list(TERM_NAMES)))
 
 
-def _of_keys(docs: DataFrame, keys: list[str], text: str, name: str, kind: str, item: Callable[[dict[str, int]], object], packed: Callable[[list], pa.Array]) -> DataFrame:
+def _of_keys(docs: DataFrame, keys: list[str], text: str, name: str, kind: str, item: Callable[[dict[str, int]], object], packed: Callable[[list], pa.Array], dealt: bool = True) -> DataFrame:
     """(keys, name): `item` of the features of the normalised texts of each key, where there are any; `packed` makes a column of items.
 
-    Texts are dealt by their keys once and lie there by key; term rows are neither exchanged nor made.
+    Texts are dealt by their keys once and lie there by key; term rows are neither exchanged nor made. If `dealt` is
+    false, texts stay where they are read, and rows of one key that are not neighbours have their own items.
     """
-    rows = docs.select(*keys, F.col(text).alias("_text")).repartition(*keys).sortWithinPartitions(*keys)
+    rows = docs.select(*keys, F.col(text).alias("_text"))
+    if dealt:
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, own, items, key, have = [], [], [], None, {}
@@ -205,9 +208,9 @@ def _sets_array(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
 
 
-def term_sets(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+def term_sets(docs: DataFrame, keys: list[str], text: str, dealt: bool = True) -> DataFrame:
     """(keys, hashes): all features of the normalised texts of each key, as 64-bit hashes that ascend, where there are any."""
-    return _of_keys(docs, keys, text, "hashes", "array<long>", _hashed, _sets_array)
+    return _of_keys(docs, keys, text, "hashes", "array<long>", _hashed, _sets_array, dealt)
 
 
 def top_terms(weighted: DataFrame, keys: list[str], max_terms: int) -> DataFrame:

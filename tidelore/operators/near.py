@@ -3,14 +3,16 @@
 1. Members are put in one order for all sets: by rising frequency, counted in buckets of their hashes so that the counts
    can be sent to every worker whatever the vocabulary, then by hash. Any order gives the same pairs.
 2. In a pair the smaller set shares ceil(2 t n / (1 + t)) of its n members or more, the larger one ceil(t n). The first
-   member that both share is thus among the first n - that + 1 of each. These join the two, together with a band of
-   sizes: a set's partners that are not smaller lie in its own band or the next. The join keeps what the sizes and the
-   places of the shared member leave possible.
+   j members that both share are thus among the first n - that + j of each; different sets share t / (1 - t) or more,
+   so j may be that. These join the two, together with a band of sizes: a set's partners that are not smaller lie in its
+   own band or the next. The join keeps what the sizes and the places of the shared members leave possible, and of
+   that the pairs that meet j times.
 3. The pairs left are compared in full. Pairs of one group of near copies meet in one cell, which gets each set once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,6 +29,10 @@ PER_BUCKET, LEAST_BITS, MOST_BITS = 16, 12, 24
 BLOCK_BITS = 12
 #: Members that are put in order at once.
 MEMBERS_AT_ONCE = 1 << 20
+#: Members by which a pair must meet, at most.
+MEETINGS = 3
+#: Rows of keys up to which they are broadcast.
+BROADCAST_KEYS = 2_000_000
 #: Bytes of sets in one cell, and pairs of one group in one cell.
 CELL_BYTES, CELL_PAIRS = 24 << 20, 1 << 19
 
@@ -77,7 +83,7 @@ def bands(most: int, t: Fraction) -> np.ndarray:
     return np.array(edges)
 
 
-def _index(sets: DataFrame, count: np.ndarray, edges: np.ndarray, t: Fraction, larger: bool, names: list[str]) -> DataFrame:
+def _index(sets: DataFrame, count: np.ndarray, edges: np.ndarray, t: Fraction, j: int, larger: bool, names: list[str]) -> DataFrame:
     """(mark, k, n, room): the first members of each set as one of a pair, and how many it has from there on."""
     bits, num, den = len(count).bit_length() - 1, t.numerator, t.denominator
 
@@ -88,7 +94,7 @@ def _index(sets: DataFrame, count: np.ndarray, edges: np.ndarray, t: Fraction, l
             order = np.argsort(doc << 16 | often, kind="stable")  # hashes ascend
             room = np.repeat(np.cumsum(size), size) - np.arange(len(doc))
             shares = -(-size * num // den) if larger else -(-size * (2 * num) // (num + den))
-            kept = (room >= shares[doc]) & (often[order] > 1)
+            kept = (room + (j - 1) >= shares[doc]) & (often[order] > 1)
             h, doc, room = h[order][kept], doc[kept], room[kept]
             for up in (0,) if larger else (0, 1):
                 band = (np.searchsorted(edges, size, "right") + up).astype(np.uint64)[doc]
@@ -99,32 +105,41 @@ def _index(sets: DataFrame, count: np.ndarray, edges: np.ndarray, t: Fraction, l
     return sets.select("k", "hashes").mapInArrow(run, f"{names[0]} long, {names[1]} {kind}, {names[2]} int, {names[3]} int")
 
 
-def possible(sets: DataFrame, t: Fraction, members: int, most: int) -> DataFrame:
-    """(a, b): pairs of sets that the index leaves possible, a the smaller one."""
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def possible(sets: DataFrame, copies: DataFrame, t: Fraction, members: int, most: int) -> DataFrame:
+    """(a, b): pairs of sets that the index leaves possible, a the smaller one; `copies` are left out."""
     num, den = t.numerator, t.denominator
+    j = max(1, min(MEETINGS, math.ceil(t / (1 - t))))
     count = counted(sets, min(MOST_BITS, max(LEAST_BITS, (members // PER_BUCKET).bit_length())))
     edges = bands(most, t)
-    small = _index(sets, count, edges, t, False, ["mark", "a", "na", "ra"])
-    large = _index(sets, count, edges, t, True, ["mark", "b", "nb", "rb"])
+    sets = sets.join(_sent(copies), "k", "left_anti")
+    small = _index(sets, count, edges, t, j, False, ["mark", "a", "na", "ra"])
+    large = _index(sets, count, edges, t, j, True, ["mark", "b", "nb", "rb"])
     na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
-    fits = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (na * den >= nb * num) & (F.least("ra", "rb") * F.lit(num + den) >= (na + nb) * num)
-    return small.join(large, "mark").filter(fits).select("a", "b").distinct()
+    fits = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (na * den >= nb * num) & ((F.least("ra", "rb") + (j - 1)) * F.lit(num + den) >= (na + nb) * num)
+    return small.join(large, "mark").filter(fits).groupBy("a", "b").agg(F.count("*").alias("met")).filter(F.col("met") >= j).select("a", "b")
 
 
-def near_sets(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, similarity) of the pairs of different sets (k, n, hashes ascending) with similarity t or more, t below 1."""
+def near_sets(sets: DataFrame, copies: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, similarity) of the pairs with similarity t or more, t below 1, of the stored table `sets` (k, n, hashes
+    ascending). All but one k of each set are in `copies`, which get no pairs."""
     members, most = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
-    pairs = stored(possible(sets, t, members, most), "pairs")
+    pairs = stored(possible(sets, copies, t, members, most), "pairs")
     # Sets that are all near each other have the least of them in common.
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     group = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("g"))
     of = pairs.join(group.select(F.col("x").alias("a"), F.col("g").alias("ga")), "a").join(group.select(F.col("x").alias("b"), F.col("g").alias("gb")), "b").select("a", "b", F.least("ga", "gb").alias("g"))
     of = stored(of, "grouped")
     parts = of.groupBy("g").agg(F.ceil(F.count("*") / CELL_PAIRS).alias("parts"))
-    bytes_ = 8 * (sets.join(ends.select(F.col("x").alias("k")).distinct(), "k", "left_semi").agg(F.sum("n")).first()[0] or 0)
+    met = stored(ends.select(F.col("x").alias("k")).distinct().join(sets.select("k", "n"), "k"), "met")
+    bytes_ = 8 * (met.agg(F.sum("n")).first()[0] or 0)
     cell = F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), "parts")), F.lit(bytes_ // CELL_BYTES + 1)).alias("cell")
     cells = stored(of.join(parts, "g").select(cell, "a", "b"), "cells")
-    needed = cells.select(F.col("cell").alias("of"), F.col("a").alias("k")).union(cells.select("cell", "b")).distinct().join(sets.select("k", "hashes"), "k")
+    asked = stored(cells.select(F.col("cell").alias("of"), F.col("a").alias("k")).union(cells.select("cell", "b")).distinct(), "asked")
+    needed = sets.select("k", "hashes").join(_sent(asked), "k")
     num, den = t.numerator, t.denominator
 
     def compare(asked: pa.Table, have: pa.Table) -> pa.Table:

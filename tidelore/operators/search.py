@@ -190,20 +190,36 @@ def next_assistant(turns: DataFrame) -> DataFrame:
     return turns.select("turn_id", F.first(F.when(F.col("role") == "assistant", F.col("turn_id")), ignorenulls=True).over(after).alias("reply_id")).filter("reply_id is not null")
 
 
+def _whole_sets(rows: DataFrame) -> DataFrame:
+    """(k, hashes, n, _s, _u), stored: the set of all terms of each k of (k, t), its size and two hashes of it.
+
+    Texts are not exchanged if they are read by as many tasks as there are cores; repeated ids are merged then.
+    """
+    signed = lambda d: d.select("k", "hashes", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("_s"), F.xxhash64(F.lit(1), "hashes").alias("_u"))
+    if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+        return stored(signed(term_sets(rows, ["k"], "t")), "sets")
+    own = stored(signed(term_sets(rows, ["k"], "t", dealt=False)), "sets")
+    again = own.groupBy("k").count().filter("count > 1").select("k")
+    if again.isEmpty():
+        return own
+    merged = own.join(again, "k", "left_semi").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes")))).alias("hashes"))
+    return stored(signed(own.select("k", "hashes").join(again, "k", "left_anti").unionByName(merged)), "merged")
+
+
 def near_pairs(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
     """(a, b, similarity) of documents whose sets of all terms have Jaccard similarity `least` or more.
 
     Terms stand for their 64-bit hashes. Equal sets are compared once; different ones by near_sets.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null")
-    every = stored(term_sets(rows, ["k"], "t").select("k", "hashes", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("_s"), F.xxhash64(F.lit(1), "hashes").alias("_u")), "sets")
+    every = _whole_sets(rows)
     classes = every.groupBy("n", "_s", "_u").agg(F.min("k").alias("one"))
     of = stored(every.select("k", "n", "_s", "_u").join(classes, ["n", "_s", "_u"]).select("k", "one"), "members")
     equal = of.select(F.col("k").alias("a"), "one").join(of.select(F.col("k").alias("b"), "one"), "one").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     if least >= 1:
         return equal
-    sets = every.select("k", "n", "hashes").join(of.filter("k = one").select("k"), "k", "left_semi")
-    alike = near_sets(sets, Fraction(str(least)))
+    copies = of.filter("k <> one").select("k")
+    alike = near_sets(every.select("k", "n", "hashes"), copies, Fraction(str(least)))
     ends = alike.join(of.select(F.col("k").alias("ka"), F.col("one").alias("a")), "a").join(of.select(F.col("k").alias("kb"), F.col("one").alias("b")), "b")
     across = ends.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
     return across.unionByName(equal)
