@@ -30,8 +30,8 @@ def _turns(spark: SparkSession, sf: str, cued: bool = False) -> DataFrame:
     c = _read(spark, sf, "conversations")
     text = F.concat(F.element_at(F.array(*[F.lit(x) for x in CUES]), (F.col("turn") % 6 + 1).cast("int")), F.col("text")) if cued else F.col("text")
     rows = c.select("conv_id", "turn", "role", text.alias("text"))
-    # The order over all turns numbers them, as the store's ids do.
-    return numbered(rows, ["conv_id", "turn"], "turn_id").select("turn_id", F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), "role", normalize_text("text").alias("content"))
+    # The order over all turns numbers them, as the store's ids do; rows without an id come last, as in the SQL.
+    return numbered(rows, [F.asc_nulls_last("conv_id"), F.asc_nulls_last("turn")], "turn_id").select("turn_id", F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), "role", normalize_text("text").alias("content"))
 
 
 def _literals(spark: SparkSession) -> DataFrame:
